@@ -145,19 +145,25 @@ def _apply(window: int, with_text: bool):
     return run
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    """The rows that take part, planned alike wherever they are needed, so that they are dealt
+    out by document once."""
+    return docs.select("doc_id", "text", F.hash("text").alias("t")).filter("doc_id is not null and text is not null")
+
+
 def duplicate_spans(docs: DataFrame, window: int = 50, gram: int = 16) -> DataFrame:
     """(doc_id, t, start, length): word ranges, maybe overlapping, that an earlier document has
     too; t is hash(text), which tells rows apart that share an id."""
     if not 1 <= gram < window:
         raise ValueError("gram must lie between 1 and window - 1")
-    texts = docs.select("doc_id", "text", F.hash("text").alias("t")).filter("doc_id is not null and text is not null")
-    blocks = texts.mapInArrow(_blocks(window, gram), _RUNS)
-    index = blocks.groupBy("content").agg(F.min(F.struct("doc_id", "start", "n", "leader")).alias("o")).select("content", "o.*")
+    texts = _texts(docs)
+    blocks = texts.mapInArrow(_blocks(window, gram), _RUNS).filter("content is not null")  # said once, so that one shuffle serves all
+    index = blocks.groupBy("content").agg(F.min(F.struct("doc_id", "t", "start", "n", "leader")).alias("o")).select("content", "o.*")
     shared = index.groupBy("leader").agg(F.count(F.lit(1)).alias("contents")).filter("contents > 1").select("leader")
     # at the boundaries of whole factors: leaders with several contents
-    edge = index.join(shared, "leader", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "content")).alias("b"))
-    edge = edge.select("doc_id", F.col("b.start").alias("start"), F.col("b.n").alias("n"), F.col("b.content").alias("content"))
-    windows = texts.join(edge, "doc_id").select("doc_id", "text", "start", "n", "content").mapInArrow(_windows(window), "window long, doc_id long, content long, k int")
+    edge = index.join(shared, "leader", "left_semi").groupBy("doc_id", "t").agg(F.collect_list(F.struct("start", "n", "content")).alias("b"))
+    edge = edge.select("doc_id", "t", F.col("b.start").alias("start"), F.col("b.n").alias("n"), F.col("b.content").alias("content"))
+    windows = texts.join(edge, ["doc_id", "t"]).select("doc_id", "text", "start", "n", "content").mapInArrow(_windows(window), "window long, doc_id long, content long, k int")
     earliest = windows.groupBy("window").agg(F.min("doc_id").alias("from_doc"), F.max("doc_id").alias("last")).filter("from_doc < last").select("window", "from_doc")
     late = windows.join(earliest, "window").filter("from_doc < doc_id").groupBy("content").agg(F.collect_set("k").alias("late"))
     parsed = index.select("content", F.col("doc_id").alias("first_doc")).join(late, "content", "left")
@@ -170,7 +176,9 @@ def duplicate_spans(docs: DataFrame, window: int = 50, gram: int = 16) -> DataFr
 def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 16, with_text: bool = False) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256 and, if asked, the kept text."""
     found = duplicate_spans(docs, window, gram).groupBy("doc_id", "t").agg(F.collect_set(F.struct("start", "length")).alias("s"))
-    rows = docs.select("doc_id", "text", F.hash("text").alias("t")).join(found, ["doc_id", "t"], "left")
+    rows = _texts(docs).join(found, ["doc_id", "t"], "left")
+    whole = docs.filter("doc_id is null or text is null").select("doc_id", F.lit(0).alias("t"), "text", F.lit(None).cast("array<struct<start:int,length:int>>").alias("s"))
+    rows = rows.unionByName(whole)
     rows = rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("s.start").alias("start"), F.col("s.length").alias("length"))
     kind = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text
     return rows.mapInArrow(_apply(window, with_text), kind)
