@@ -11,9 +11,10 @@ equals a whole line differs from it by an insertion. So within a key the earlies
 partner to all later ones, found by an aggregate and never by listing the key's pairs; the word
 edit distance of each pair found is then verified on the lines themselves.
 
-Before variants are made, half lines decide who needs them: one edit leaves the first or the
-second half of a line untouched, so a line whose halves nobody shares has no neighbour, and a
-shared half says in which other half the gap must be. This drops no pair.
+Before variants are made, coarser gaps decide who needs them and where: first half a line is
+left out, then, of the halves whose other half somebody shares, an eighth of it at a time. One
+edit lies within one such gap, so what nobody shares has no neighbour there. This drops no pair
+and leaves variants to be made only for a few words of the lines that have near neighbours.
 
 Defined results: null text stays null and has no lines; the empty text is one blank line;
 repeated rows of one document are one document; rows with a null id stay as they are."""
@@ -23,18 +24,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 _PLACE = ("doc_id", "t", "line_no")
+_WORDS = "octet_length(line) - octet_length(replace(line, ' ', '')) + 1"
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text", F.hash("text").alias("t")).filter("doc_id is not null and text is not null")
+
 
+def _untidy(text: Column) -> Column:
+    """Whether some line has other blanks than single ones between words."""
+    out = text.startswith(" ") | text.endswith(" ")
+    for x in ("  ", " \n", "\n ", "\t", "\x0b", "\f", "\r"):
+        out = out | text.contains(x)
+    return out
 
-def _tidy(line: Column) -> Column:
+
+def _tidy(line: Column, untidy: Column) -> Column:
     """The line with single blanks between words and none at the ends."""
-    return F.when(line.rlike(r"[\t\x0B\f\r]|  |^ | $"), F.trim(F.regexp_replace(line, r"[ \t\x0B\f\r]+", " "))).otherwise(line)
+    return F.when(untidy, F.trim(F.regexp_replace(line, r"[ \t\x0B\f\r]+", " "))).otherwise(line)
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    parts = docs.select("doc_id", "text", F.hash("text").alias("t")).filter("doc_id is not null and text is not null")
-    lines = parts.select("doc_id", "t", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return lines.select(*_PLACE, _tidy(F.col("line")).alias("line")).filter("line <> ''")
+def _gap(length: str, p: str, q: str) -> str:
+    """SQL for the key of a line as one of `length` words without its words p to q - 1."""
+    return f"xxhash64({length}, {p}, {q}, substring_index(line, ' ', {p}), substring_index(line, ' ', {q} - ({length})))"
 
 
 def _without(i: str) -> str:
@@ -43,54 +58,53 @@ def _without(i: str) -> str:
     return f"case when {i} = 0 then {after} when {i} = n - 1 then {before} else concat({before}, ' ', {after}) end"
 
 
-def duplicate_lines(docs: DataFrame, fuzzy_words: int = 8) -> DataFrame:
-    """(doc_id, t, line_no) of the lines to remove; t is hash(text), line_no counts from 0."""
-    if fuzzy_words < 4:
-        raise ValueError("one word in fewer than four says too little")
-    lines = _lines(docs).withColumn("n", F.expr("octet_length(line) - octet_length(replace(line, ' ', '')) + 1"))
-    front = lambda length: F.expr(f"xxhash64('front', {length}, substring_index(line, ' ', {length} div 2))")
-    back = lambda length: F.expr(f"xxhash64('back', {length}, substring_index(line, ' ', {length} div 2 - {length}))")
-    lines = lines.select(
-        *_PLACE, "n", F.xxhash64("line").alias("h"), F.hash("line").alias("g"),
-        F.when(F.col("n") >= fuzzy_words, F.array(front("n"), back("n"))).alias("own"),
-        F.when(F.col("n") > fuzzy_words, F.array(front("(n - 1)"), back("(n - 1)"))).alias("shorter"),
-    )
-    distinct = lines.groupBy("h", "g", "n").agg(F.min(F.struct(*_PLACE)).alias("first"), F.any_value("own").alias("own"), F.any_value("shorter").alias("shorter"))
-    fuzzy = distinct.filter(F.col("own").isNotNull())
-
-    # halves: those shared by two lines of one length, or by a line and one a word longer
-    parts = F.expr("""filter(array(named_struct('key', own[0], 'role', 0), named_struct('key', own[1], 'role', 1),
-        named_struct('key', shorter[0], 'role', 2), named_struct('key', shorter[1], 'role', 3)), x -> x.key is not null)""")
-    parts = fuzzy.select("first", F.explode(parts).alias("p")).select("first", "p.*")
-    shared = parts.groupBy("key").agg(F.sum(F.expr("int(role < 2)")).alias("owns"), F.sum(F.expr("int(role > 1)")).alias("longer"))
-    shared = shared.filter("owns > 1 or (owns > 0 and longer > 0)")
-    needs = parts.join(shared, "key").select(
-        "first.*",
-        F.expr("role = 0 and owns > 1").alias("late_swap"), F.expr("role = 1 and owns > 1").alias("early_swap"),
-        F.expr("role = 2 and owns > 0").alias("late_drop"), F.expr("role = 3 and owns > 0").alias("early_drop"),
-        F.expr("role < 2 and longer > 0").alias("whole"),
-    )
-    flags = ("late_swap", "early_swap", "late_drop", "early_drop", "whole")
-    needs = needs.groupBy(*_PLACE).agg(*[F.bool_or(x).alias(x) for x in flags]).filter(" or ".join(flags))
-    by_doc = needs.groupBy("doc_id", "t").agg(F.map_from_entries(F.collect_list(F.struct("line_no", F.struct(*flags)))).alias("needs"))
-    texts = docs.select("doc_id", "text", F.hash("text").alias("t")).dropDuplicates(["doc_id", "t"])
-    asked = texts.join(by_doc, ["doc_id", "t"]).select("doc_id", "t", "needs", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    asked = asked.select(*_PLACE, F.element_at("needs", F.col("line_no")).alias("f"), _tidy(F.col("line")).alias("line")).filter("f is not null")
-    asked = asked.select(*_PLACE, "line", "f.*", F.expr("octet_length(line) - octet_length(replace(line, ' ', '')) + 1").alias("n"))
-
-    # the variants: a gap in place i, a word dropped, or the whole line; only the half that can differ
-    places = lambda early, late: f"filter(sequence(0, n - 1), i -> (i < n div 2 and {early}) or (i >= n div 2 and {late}))"
-    drops = "filter(sequence(0, n - 1), i -> (early_drop and i <= (n - 1) div 2) or (late_drop and i >= (n - 1) div 2))"
-    variants = asked.select(*_PLACE, "n", F.explode(F.expr(f"""concat(
-        transform({places("early_swap", "late_swap")}, i -> named_struct('kind', 's', 'i', i,
-            'key', xxhash64('s', n, i, substring_index(line, ' ', i), substring_index(line, ' ', i + 1 - n)))),
-        transform({drops}, i -> named_struct('kind', 'd', 'i', i, 'key', xxhash64('w', n - 1, {_without("i")}))),
-        if(whole, array(named_struct('kind', 'w', 'i', -1, 'key', xxhash64('w', n, line))), array()))""")).alias("v")).select(*_PLACE, "v.*")
+def _shared(parts: DataFrame) -> DataFrame:
+    """Of rows with key and role (0: a line of the key's length, 1: one a word longer), those
+    that meet another line there: swap (two of the length), drop (longer) or whole."""
+    counts = parts.groupBy("key").agg(F.sum(F.expr("int(role = 0)")).alias("owns"), F.sum("role").alias("longer")).filter("owns > 1 or (owns > 0 and longer > 0)")
+    met = parts.join(counts, "key").withColumns({"swap": F.expr("role = 0 and owns > 1"), "whole": F.expr("role = 0 and longer > 0"), "drop": F.expr("role = 1 and owns > 0")})
+    return met.filter("swap or whole or drop").drop("key", "owns", "longer")
+
+
+def _fuzzy_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
+    """place, line, n and halves (role, late) of the lines that share half a line with another."""
+    parts = distinct.filter("first.own is not null").select("first", F.explode(F.expr("""filter(array(
+        named_struct('key', first.own[0], 'role', 0, 'late', true), named_struct('key', first.own[1], 'role', 0, 'late', false),
+        named_struct('key', first.shorter[0], 'role', 1, 'late', true), named_struct('key', first.shorter[1], 'role', 1, 'late', false)), x -> x.key is not null)""")).alias("p"))
+    parts = parts.select(*[F.col("first")[c].alias(c) for c in _PLACE], "p.*")
+    needs = _shared(parts).groupBy("doc_id", "t", "line_no").agg(F.collect_set(F.struct("role", "late")).alias("halves"))
+    by_doc = needs.groupBy("doc_id", "t").agg(F.map_from_entries(F.collect_list(F.struct("line_no", "halves"))).alias("needs"))
+    asked = _texts(docs).dropDuplicates(["doc_id", "t"]).join(by_doc, ["doc_id", "t"])
+    asked = asked.select("doc_id", "t", "needs", _untidy(F.col("text")).alias("untidy"), F.split("text", "\n").alias("lines"))  # once a document, below the explode
+    asked = asked.select("doc_id", "t", "needs", "untidy", F.posexplode("lines").alias("line_no", "line"))
+    asked = asked.select(*_PLACE, F.element_at("needs", F.col("line_no")).alias("halves"), _tidy(F.col("line"), F.col("untidy")).alias("line")).filter("halves is not null")
+    return asked.withColumn("n", F.expr(_WORDS))
+
+
+def _near_lines(asked: DataFrame) -> DataFrame:
+    """The places of lines with an earlier line at one word's distance, from `_fuzzy_lines`."""
+    # an eighth of a half left out
+    eighths = asked.select(*_PLACE, F.explode(F.expr(f"""filter(flatten(transform(halves, h -> transform(sequence(0, 7), c ->
+        named_struct('role', h.role, 'size', n - h.role, 'lo', if(h.late, (n - h.role) div 2, 0), 'hi', if(h.late, n - h.role, (n - h.role) div 2), 'c', c)))),
+        x -> (x.hi - x.lo) * x.c div 8 < (x.hi - x.lo) * (x.c + 1) div 8)""")).alias("x"), "line")
+    eighths = eighths.select(*_PLACE, "line", "x.role", "x.size", F.expr("int(x.lo + (x.hi - x.lo) * x.c div 8)").alias("p"), F.expr("int(x.lo + (x.hi - x.lo) * (x.c + 1) div 8)").alias("q"))
+    eighths = eighths.select(*_PLACE, "role", "p", "q", F.expr(_gap("size", "p", "q")).alias("key"))
+    gaps = _shared(eighths).groupBy(*_PLACE).agg(F.collect_set(F.struct("p", "q", "swap", "whole", "drop")).alias("gaps"))
+    asked = stored(asked.drop("halves").join(gaps, list(_PLACE)))
+
+    # the variants within those gaps: word i replaced, word i dropped, or the whole line
+    variants = asked.select(*_PLACE, "n", F.explode(F.expr(f"""array_distinct(concat(
+        flatten(transform(filter(gaps, g -> g.swap), g -> transform(sequence(g.p, g.q - 1), i -> named_struct('kind', 's', 'i', i,
+            'key', xxhash64('s', n, i, substring_index(line, ' ', i), substring_index(line, ' ', i + 1 - n)))))),
+        flatten(transform(filter(gaps, g -> g.drop), g -> transform(sequence(g.p, g.q), i -> named_struct('kind', 'd', 'i', i,
+            'key', xxhash64('w', n - 1, {_without("i")}))))),
+        if(exists(gaps, g -> g.whole), array(named_struct('kind', 'w', 'i', -1, 'key', xxhash64('w', n, line))), array())))""")).alias("v")).select(*_PLACE, "v.*")
     place = F.struct(*_PLACE)
     met = variants.groupBy("key").agg(
-        F.min(F.when(F.col("kind") == "s", place)).alias("swap"), F.min(F.when(F.col("kind") == "d", place)).alias("long"), F.min(F.when(F.col("kind") == "w", place)).alias("short"),
-        F.min_by("i", F.when(F.col("kind") == "d", place)).alias("long_i"), F.count(F.lit(1)).alias("size"),
+        F.min(F.when(F.col("kind") == "s", place)).alias("swap"), F.min(F.when(F.col("kind") == "d", F.struct(*_PLACE, "i"))).alias("long"),
+        F.min(F.when(F.col("kind") == "w", place)).alias("short"), F.count(F.lit(1)).alias("size"),
     ).filter("size > 1")
+    met = met.select("key", "swap", "short", F.expr("if(long is null, null, struct(long.doc_id, long.t, long.line_no))").alias("long"), F.col("long.i").alias("long_i"))
     found = variants.join(met, "key").withColumn("partner", F.expr("case kind when 's' then swap when 'd' then short else long end"))
     found = found.filter(F.col("partner") < place).select(*_PLACE, "kind", F.expr("if(kind = 'w', long_i, i)").alias("i"), "partner")
     found = found.groupBy(*_PLACE, "kind").agg(F.min(F.struct("partner", "i")).alias("m")).select(*_PLACE, "kind", "m.*")
@@ -101,10 +115,27 @@ def duplicate_lines(docs: DataFrame, fuzzy_words: int = 8) -> DataFrame:
     around = lambda x: f"struct(substring_index({x}, ' ', i), substring_index({x}, ' ', i + 1 - n))"
     longer = _without("i").replace("line", "other").replace("n - 1", "n").replace("1 - n", "- n")
     near = pairs.filter(F.expr(f"case kind when 's' then {around('line')} = {around('other')} when 'd' then {_without('i')} = other else {longer} = line end"))
-    near = near.select(F.struct(*_PLACE).alias("first")).distinct().withColumn("near", F.lit(True))
+    return near.select(*_PLACE).distinct()
+
 
-    known = distinct.join(near, "first", "left").select("h", "g", "n", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    return lines.select(*_PLACE, "h", "g", "n").join(known, ["h", "g", "n"]).filter(F.col("near") | (F.col("first") < place)).select(*_PLACE)
+def duplicate_lines(docs: DataFrame, fuzzy_words: int = 8) -> DataFrame:
+    """(doc_id, t, line_no) of the lines to remove; t is hash(text), line_no counts from 0."""
+    if fuzzy_words < 4:
+        raise ValueError("one word in fewer than four says too little")
+    lines = _texts(docs).select("doc_id", "t", _untidy(F.col("text")).alias("untidy"), F.split("text", "\n").alias("lines"))  # once a document, below the explode
+    lines = lines.select("doc_id", "t", "untidy", F.posexplode("lines").alias("line_no", "line"))
+    lines = lines.select(*_PLACE, _tidy(F.col("line"), F.col("untidy")).alias("line")).filter("line <> ''").withColumn("n", F.expr(_WORDS))
+    halves = lambda length: F.array(F.expr(_gap(length, f"({length}) div 2", length)), F.expr(_gap(length, "0", f"({length}) div 2")))
+    lines = stored(lines.select(
+        *_PLACE, F.xxhash64("line").alias("h"), F.hash("line").alias("g"),
+        F.when(F.col("n") >= fuzzy_words, halves("n")).alias("own"), F.when(F.col("n") > fuzzy_words, halves("n - 1")).alias("shorter"),
+    ))
+    distinct = lines.groupBy("h", "g").agg(F.min(F.struct(*_PLACE, "own", "shorter")).alias("first"))
+    near = stored(_near_lines(stored(_fuzzy_lines(docs, distinct))))
+    place = F.struct(*_PLACE)
+    known = lines.groupBy("h", "g").agg(F.min(place).alias("first")).select("h", "g", "first", *[F.col("first")[c].alias(c) for c in _PLACE])
+    known = known.join(near.withColumn("near", F.lit(True)), list(_PLACE), "left").select("h", "g", "first", F.coalesce("near", F.lit(False)).alias("near"))
+    return lines.select(*_PLACE, "h", "g").join(known, ["h", "g"]).filter(F.col("near") | (F.col("first") < place)).select(*_PLACE)
 
 
 def _applied(docs: DataFrame, fuzzy_words: int) -> DataFrame:
