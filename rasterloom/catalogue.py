@@ -1,9 +1,222 @@
 """The named queries over the raster operators, and their SQL oracles."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from .functions import colour, geometry
+from .operators import align, resample, stencil, threshold
+from .plans import displacement
+from .sources import rasters
+
+SIZE = 64
+#: Destination to source: a small turn and a half-pixel move.
+BACK = (0.96, 0.12, 1.5, -0.12, 0.96, 2.25)
+
+LEVELS = [("a", 0, 5000, 3000), ("b", 0, 1025, 400), ("c", 0, 500, 500), ("d", 0, 128000, 90000)]
+PIXELS = [("r", 0, 1.0), ("r", 1, 2.0), ("r", 2, 4.0), ("s", 0, 0.5), ("s", 1, 1.0), ("s", 2, 2.0), ("s", 3, 8.0)]
+NAMES = ["DAPI", "CD3", "DAPI", "CD8", "CD3", "DAPI", "Ki67"]
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _e(spark: SparkSession, d: str) -> DataFrame:
+    return rasters.vector_raster(rasters.table(spark, d, "embeddings"))
+
+
+def _l(spark: SparkSession, d: str) -> DataFrame:
+    return rasters.density_raster(rasters.table(spark, d, "lineitem"), SIZE)
+
+
+def _rgb(spark: SparkSession, d: str) -> DataFrame:
+    return rasters.density_raster(rasters.table(spark, d, "lineitem"), SIZE, r="l_quantity", g="l_suppkey", b="l_linenumber")
+
+
+def _levels(spark: SparkSession, reader: str) -> DataFrame:
+    return spark.createDataFrame([(k, p) for r, k, p in PIXELS if r == reader], "level int, px double")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return displacement.constrained_shifts(spark, sf_dir)
+
+
+def _merge(spark: SparkSession, d: str) -> DataFrame:
+    rgb = _rgb(spark, d)
+    one = rgb.select("y", "x", F.explode(F.array(*[F.struct(F.lit(k).alias("channel"), F.col(c).alias("v")) for k, c in enumerate("rgb")])).alias("p")).select("y", "x", "p.*")
+    return one.unionByName(_l(spark, d).withColumn("channel", F.lit(3)))
+
+
+def _brightfield(spark: SparkSession, d: str) -> DataFrame:
+    image = _l(spark, d)
+    texture = stencil.local_entropy(image, 1, SIZE, SIZE).withColumn("t", F.round("entropy", 6))
+    cut = texture.agg(F.round(F.avg("t"), 6).alias("threshold"))
+    out = threshold.brightfield(image.join(texture, ["y", "x"]), cut)
+    return out.select(F.round("inside", 6).alias("inside"), F.round("outside", 6).alias("outside"), "brightfield")
+
+
+def _match(spark: SparkSession, d: str) -> DataFrame:
+    return threshold.matched_histogram(_e(spark, d).filter("x < 32"), _e(spark, d).filter("x >= 32"))
+
+
+def _codes(spark: SparkSession, d: str, parity: int) -> DataFrame:
+    e = _e(spark, d).filter((F.col("y") < 200) & (F.col("y") % 2 == parity) & (F.col("x") < 63))  # a keypoint set of fixed size
+    return e.groupBy(F.col("y").alias("id")).agg(F.sum(F.when(F.col("v") > 128, F.expr("shiftleft(1L, x)")).otherwise(F.lit(0).cast("long"))).alias("code"))
+
+
+def _multires(spark: SparkSession, d: str) -> DataFrame:
+    items = rasters.table(spark, d, "lineitem")
+    rows = items.groupBy((F.col("l_partkey") % 16).cast("int").alias("by"), (F.col("l_suppkey") % 8).cast("int").alias("bx"), ((F.col("l_linenumber") - 1) % 3).cast("int").alias("level"))
+    rows = rows.agg((F.sum("l_quantity").cast("long") % 7 - 3).cast("double").alias("dy"), (F.count(F.lit(1)) % 7 - 3).cast("double").alias("dx"), (F.sum("l_orderkey") % 3 == 0).alias("valid"))
+    return align.finest_valid(rows.withColumn("ratio", F.expr("cast(shiftleft(1, level) as double)")))
+
+
+def _objects(spark: SparkSession, d: str) -> DataFrame:
+    items = rasters.table(spark, d, "lineitem").filter("l_quantity > 45")
+    covers = items.select((F.col("l_partkey") % 32).cast("int").alias("by"), (F.col("l_orderkey") % 32).cast("int").alias("bx"), (F.col("l_suppkey") % 10).cast("int").alias("obj_id")).distinct()
+    objects = covers.groupBy("obj_id").agg(F.count(F.lit(1)).alias("area"))
+    cells = spark.range(32 * 32).select((F.col("id") / 32).cast("int").alias("by"), (F.col("id") % 32).cast("int").alias("bx"))
+    return align.largest_object(cells, covers, objects)
+
+
+def _flow(spark: SparkSession, d: str) -> DataFrame:
+    s = displacement.block_shifts(spark, d)
+    light, a, b = colour.flow_lab("dy", "dx", 2.0)
+    return s.select("by", "bx", F.round(light, 6).alias("l"), F.round(a, 6).alias("a"), F.round(b, 6).alias("b"))
+
+
+def _fft(spark: SparkSession, d: str) -> DataFrame:
+    one, two = displacement.displaced_pairs(spark, d)
+    return align.fft_shifts(one.join(two.withColumnRenamed("w", "w2"), ["by", "bx", "iy", "ix"]), displacement.BLOCK)
+
+
+def queries() -> dict[str, Query]:
+    return {
+        "raster_scan": _e,
+        "density_scan": _l,
+        "channel_extract": lambda s, d: _rgb(s, d).select("y", "x", F.col("g").alias("v")),
+        "channel_merge": _merge,
+        "grayscale": lambda s, d: _rgb(s, d).select("y", "x", colour.luma().alias("v")),
+        "laplacian_sharpen": lambda s, d: stencil.laplacian(_e(s, d)),
+        "box_downscale": lambda s, d: stencil.blocks_mean(_e(s, d), 2).withColumn("v", F.round("v", 6)),
+        "coarsen_trunc": lambda s, d: stencil.coarsened(_l(s, d), 5, SIZE, SIZE),
+        "mean_round_even": lambda s, d: stencil.blocks_mean(_l(s, d), 2).withColumn("v", F.rint("v").cast("int")),
+        "mask_stride_pyramid": lambda s, d: stencil.strided(_l(s, d).withColumn("v", F.col("v") > 128), 2),
+        "local_median3": lambda s, d: stencil.median3(_l(s, d), SIZE, SIZE),
+        "local_entropy9": lambda s, d: stencil.local_entropy(_l(s, d), 4, SIZE, SIZE).withColumn("entropy", F.round("entropy", 6)),
+        "otsu_threshold": lambda s, d: threshold.otsu(_e(s, d)).select(F.round("threshold", 6).alias("threshold")),
+        "triangle_threshold": lambda s, d: threshold.triangle(_e(s, d)).select(F.round("threshold", 6).alias("threshold")),
+        "brightfield_flag": _brightfield,
+        "hist_match": _match,
+        "rescale_trunc": lambda s, d: threshold.rescaled(_l(s, d), 20, 230),
+        "rescale_round": lambda s, d: threshold.rescaled(_l(s, d), 20, 230, "even"),
+        "cmyk_marker": lambda s, d: _rgb(s, d).select("y", "x", F.round(colour.marker_ink(), 6).alias("v")),
+        "stain_unmix": lambda s, d: _rgb(s, d).select("y", "x", F.round(colour.stain(0), 6).alias("hematoxylin"), F.round(colour.stain(1), 6).alias("aec")),
+        "level_geometry": lambda s, d: geometry.level_geometry(s.createDataFrame([(i, h, w) for i, _, h, w in LEVELS], "image string, h long, w long")),
+        "level_match_strict": lambda s, d: geometry.match_levels_strict(_levels(s, "r"), _levels(s, "s")),
+        "level_match_nearest": lambda s, d: geometry.match_levels_nearest(s.createDataFrame(PIXELS, "reader string, level int, px double")),
+        "channel_naming": lambda s, d: geometry.unique_names(s.createDataFrame([*enumerate(NAMES)], "place int, name string")),
+        "block_shift_int": displacement.block_shifts,
+        "block_shift_fft": _fft,
+        "constrain_shifts": displacement.constrained_shifts,
+        "multires_coalesce": _multires,
+        "object_priority": _objects,
+        "warp_nearest": lambda s, d: resample.warp_nearest(_l(s, d), _l(s, d).select("y", "x"), BACK),
+        "warp_bilinear": lambda s, d: resample.warp_bilinear(_l(s, d), _l(s, d).select("y", "x"), BACK),
+        "mutual_nn_hamming": lambda s, d: align.mutual_nearest(_codes(s, d, 0), _codes(s, d, 1)),
+        "flow_lab": _flow,
+    }
+
+
+_E = "e AS (SELECT CAST(vec_id AS INTEGER) AS y, CAST(unnest(range(len(embedding))) AS INTEGER) AS x, CAST(floor((CAST(unnest(embedding) AS DOUBLE) + 1) * 128) AS INTEGER) AS v FROM embeddings)"
+_AXIS = f"axis AS (SELECT CAST(r // {SIZE} AS INTEGER) AS y, CAST(r % {SIZE} AS INTEGER) AS x FROM range({SIZE * SIZE}) t(r))"
+_CELLS = f"""cells AS (SELECT CAST(l_partkey % {SIZE} AS INTEGER) AS y, CAST(l_orderkey % {SIZE} AS INTEGER) AS x, CAST(CAST(sum(l_quantity) AS BIGINT) % 256 AS INTEGER) AS r,
+    CAST(sum(l_suppkey) % 256 AS INTEGER) AS g, CAST(sum(l_linenumber) % 256 AS INTEGER) AS b FROM lineitem GROUP BY 1, 2)"""
+_RGB = f"{_AXIS}, {_CELLS}, rgb AS (SELECT y, x, coalesce(r, 0) AS r, coalesce(g, 0) AS g, coalesce(b, 0) AS b FROM axis LEFT JOIN cells USING (y, x)), l AS (SELECT y, x, r AS v FROM rgb)"
+
+
+def _steps(reach: int) -> str:
+    return f"(SELECT CAST(r AS INTEGER) AS k FROM range({-reach}, {reach + 1}) t(r))"
+
+
+_LAPLACE = """w AS (SELECT y, x, CAST(coalesce(lag(v) OVER a, v) + coalesce(lead(v) OVER a, v) + coalesce(lag(v) OVER d, v) + coalesce(lead(v) OVER d, v) - 4 * v AS INTEGER) AS w
+    FROM e WINDOW a AS (PARTITION BY y ORDER BY x), d AS (PARTITION BY x ORDER BY y))"""
+_ENTROPY = """{name} AS (SELECT y, x, log2(sum(c)) - sum(c * log2(c)) / sum(c) AS entropy FROM (
+    SELECT p.y, p.x, q.v, count(*) AS c FROM l p, {steps} a, {steps} b, l q WHERE q.y = p.y + a.k AND q.x = p.x + b.k GROUP BY 1, 2, 3) GROUP BY 1, 2)"""
+_SHIFTS = f"""f AS (SELECT CAST(y // 16 AS INTEGER) AS by_, CAST(x // 16 AS INTEGER) AS bx, y % 16 AS iy, x % 16 AS ix, w FROM w WHERE y // 16 < 31),
+    m AS (SELECT by_, bx, (iy - (by_ % 3 - 1) + 16) % 16 AS iy, (ix - (bx % 3 - 1) + 16) % 16 AS ix, w AS w2 FROM f),
+    mv AS (SELECT by_, bx, (iy + a.k + 16) % 16 AS iy, (ix + b.k + 16) % 16 AS ix, w2, a.k AS dy, b.k AS dx FROM m, {_steps(2)} a, {_steps(2)} b),
+    sc AS (SELECT by_, bx, dy, dx, CAST(sum(CAST(w AS BIGINT) * w2) AS BIGINT) AS score FROM f JOIN mv USING (by_, bx, iy, ix) GROUP BY 1, 2, 3, 4),
+    sh AS (SELECT by_ AS "by", bx, dy, dx, score FROM sc QUALIFY row_number() OVER (PARTITION BY by_, bx ORDER BY score DESC, dy, dx) = 1)"""
+_HIST = "ends AS (SELECT CAST(min(v) AS DOUBLE) AS lo, CAST(max(v) AS DOUBLE) AS hi FROM e), h AS (SELECT CAST(least(floor((v - lo) / ((hi - lo) / 256)), 255) AS INTEGER) AS bin, count(*) AS n, any_value(lo) AS lo, any_value(hi) AS hi FROM e, ends GROUP BY 1), hc AS (SELECT bin, n, lo + (bin + 0.5e0) * ((hi - lo) / 256) AS centre FROM h)"
+
+
+def _values(rows: list[tuple], names: str) -> str:
+    lit = lambda v: f"'{v}'" if isinstance(v, str) else f"CAST({v} AS {'DOUBLE' if isinstance(v, float) else 'BIGINT'})"
+    return "(VALUES " + ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows) + f") t({names})"
+
+
+def oracle_sql() -> dict[str, str]:
+    a, b, c, d, e, f = BACK
+    src = f"src AS (SELECT y, x, x * {a}e0 + y * {b}e0 + {c}e0 AS sx, x * {d}e0 + y * {e}e0 + {f}e0 AS sy FROM l)"
+    ink = "SELECT y, x, 1 - r / 255e0 AS c, 1 - g / 255e0 AS m, 1 - b / 255e0 AS k2, least(1 - r / 255e0, 1 - g / 255e0, 1 - b / 255e0) AS k FROM rgb"
+    unmix = colour.unmixing()
+    od = lambda ch: f"ln(greatest({ch} / 255e0, 1e-6)) / ln(1e-6)"
+    stain = lambda k: "round(greatest(" + " + ".join(f"({od(ch)}) * ({float(w)!r})" for ch, w in zip("rgb", unmix[:, k])) + ", 0e0), 6)"
+    level_rows = _values([(i, h, w) for i, _, h, w in LEVELS], "image, h, w")
+    up = lambda n, p: f"(({n} + {p} - 1) // {p})"
+    tile = lambda n: f"CAST((({n} + ({n} + 1023) // 1024 - 1) // (({n} + 1023) // 1024) + 15) // 16 * 16 AS BIGINT)"
+    px = _values(PIXELS, "reader, level, px")
+    share = lambda name, cond: f"{name}c AS (SELECT v, count(*) AS n FROM e WHERE {cond} GROUP BY v), {name} AS (SELECT CAST(v AS DOUBLE) AS v, sum(n) OVER (ORDER BY v) / CAST((SELECT sum(n) FROM {name}c) AS DOUBLE) AS q FROM {name}c)"
+    codes = lambda name, parity: f"{name} AS (SELECT y AS id, CAST(sum(CASE WHEN v > 128 THEN CAST(1 AS BIGINT) << x ELSE 0 END) AS BIGINT) AS code FROM e WHERE y < 200 AND y % 2 = {parity} AND x < 63 GROUP BY y)"
+    rescale = lambda how: f"WITH {_RGB} SELECT y, x, CAST({how}((least(greatest(CAST(v AS DOUBLE), 20e0), 230e0) - 20e0) / 210e0 * 255) AS INTEGER) AS v FROM l"
+    median = f"""WITH {_RGB} SELECT p.y, p.x, CAST(median(q.v) AS DOUBLE) AS v FROM l p, {_steps(1)} a, {_steps(1)} b, l q
+        WHERE q.y = least(greatest(p.y + a.k, 0), {SIZE - 1}) AND q.x = least(greatest(p.x + b.k, 0), {SIZE - 1}) GROUP BY 1, 2"""
+    flow = "sqrt(CAST(dy * dy + dx * dx AS DOUBLE))"
+    return {
+        "raster_scan": f"WITH {_E} SELECT y, x, v FROM e",
+        "density_scan": f"WITH {_RGB} SELECT y, x, v FROM l",
+        "channel_extract": f"WITH {_RGB} SELECT y, x, g AS v FROM rgb",
+        "channel_merge": f"WITH {_RGB} SELECT y, x, 0 AS channel, r AS v FROM rgb UNION ALL SELECT y, x, 1, g FROM rgb UNION ALL SELECT y, x, 2, b FROM rgb UNION ALL SELECT y, x, 3, v FROM l",
+        "grayscale": f"WITH {_RGB} SELECT y, x, CAST(round_even(0.299e0 * r + 0.587e0 * g + 0.114e0 * b, 0) AS INTEGER) AS v FROM rgb",
+        "laplacian_sharpen": f"WITH {_E}, {_LAPLACE} SELECT y, x, w FROM w",
+        "box_downscale": f"WITH {_E} SELECT CAST(y // 2 AS INTEGER) AS y, CAST(x // 2 AS INTEGER) AS x, round(avg(v), 6) AS v FROM e GROUP BY 1, 2",
+        "coarsen_trunc": f"WITH {_RGB} SELECT CAST(y // 5 AS INTEGER) AS y, CAST(x // 5 AS INTEGER) AS x, CAST(trunc(avg(v)) AS INTEGER) AS v FROM l WHERE y < {SIZE // 5 * 5} AND x < {SIZE // 5 * 5} GROUP BY 1, 2",
+        "mean_round_even": f"WITH {_RGB} SELECT CAST(y // 2 AS INTEGER) AS y, CAST(x // 2 AS INTEGER) AS x, CAST(round_even(avg(v), 0) AS INTEGER) AS v FROM l GROUP BY 1, 2",
+        "mask_stride_pyramid": f"WITH {_RGB} SELECT CAST(y // 2 AS INTEGER) AS y, CAST(x // 2 AS INTEGER) AS x, v > 128 AS v FROM l WHERE y % 2 = 0 AND x % 2 = 0",
+        "local_median3": median,
+        "local_entropy9": f"WITH {_RGB}, {_ENTROPY.format(name='h', steps=_steps(4))} SELECT y, x, round(entropy, 6) AS entropy FROM h",
+        "otsu_threshold": f"""WITH {_E}, {_HIST}, t AS (SELECT bin, centre, sum(n) OVER u AS w1, sum(n * centre) OVER u AS s1, sum(n) OVER r AS w2, sum(n * centre) OVER r AS s2 FROM hc
+            WINDOW u AS (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), r AS (ORDER BY bin ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))
+            SELECT round(centre, 6) AS threshold FROM t ORDER BY coalesce(round(CAST(w1 AS DOUBLE) * CAST(w2 AS DOUBLE) * pow(s1 / w1 - s2 / w2, 2), 3), -1) DESC, bin LIMIT 1""",
+        "triangle_threshold": f"""WITH {_E}, {_HIST}, p AS (SELECT n AS peak_n, bin AS peak FROM h ORDER BY n DESC, bin LIMIT 1), b AS (SELECT min(bin) AS f, max(bin) AS l FROM h),
+            g AS (SELECT *, CASE WHEN peak - f > l - peak THEN f ELSE l END AS tail FROM p, b)
+            SELECT round(centre, 6) AS threshold FROM hc, g WHERE bin BETWEEN least(peak, tail) AND greatest(peak, tail) ORDER BY peak_n * abs(bin - tail) - n * abs(peak - tail) DESC, bin LIMIT 1""",
+        "brightfield_flag": f"""WITH {_RGB}, {_ENTROPY.format(name='h', steps=_steps(1))}, j AS (SELECT v, round(entropy, 6) AS t FROM l JOIN h USING (y, x)), c AS (SELECT round(avg(t), 6) AS threshold FROM j),
+            m AS (SELECT median(v) FILTER (WHERE t > threshold) AS inside, median(v) FILTER (WHERE t <= threshold) AS outside FROM j, c) SELECT CAST(inside AS DOUBLE) AS inside, CAST(outside AS DOUBLE) AS outside, inside < outside AS brightfield FROM m""",
+        "hist_match": f"""WITH {_E}, {share("o", "x < 32")}, {share("r", "x >= 32")}, s AS (SELECT v AS v1, q AS q1, lead(v) OVER (ORDER BY q) AS v2, lead(q) OVER (ORDER BY q) AS q2 FROM r)
+            SELECT CAST(o.v AS INTEGER) AS v, round(CASE WHEN o.q < (SELECT min(q) FROM r) THEN (SELECT min(v) FROM r) ELSE v1 + coalesce((o.q - q1) / (q2 - q1) * (v2 - v1), 0) END, 6) AS matched FROM o LEFT JOIN s ON o.q >= q1 AND (q2 IS NULL OR o.q < q2)""",
+        "rescale_trunc": rescale("trunc"),
+        "rescale_round": rescale("rint").replace("rint((", "round_even((").replace("* 255) AS", "* 255, 0) AS"),
+        "cmyk_marker": f"WITH {_RGB}, i AS ({ink}) SELECT y, x, round(CASE WHEN k >= 1 THEN 0 ELSE (m - k) / (1 - k) + (k2 - k) / (1 - k) END, 6) AS v FROM i",
+        "stain_unmix": f"WITH {_RGB} SELECT y, x, {stain(0)} AS hematoxylin, {stain(1)} AS aec FROM rgb",
+        "level_geometry": f"""WITH i AS (SELECT * FROM {level_rows}), s AS (SELECT image, h, w, CAST(r AS INTEGER) AS level, CAST(1 AS BIGINT) << r AS p FROM i, range(32) t(r)),
+            k AS (SELECT image, level, CAST({up('h', 'p')} AS BIGINT) AS height, CAST({up('w', 'p')} AS BIGINT) AS width FROM s WHERE level = 0 OR greatest(h, w) > 1024 * (p // 2)) SELECT *, {tile('height')} AS tile_h, {tile('width')} AS tile_w FROM k""",
+        "level_match_strict": f"WITH p AS (SELECT * FROM {px}) SELECT CAST(a.level AS INTEGER) AS level1, CAST(coalesce(max(b.level), 0) AS INTEGER) AS level2 FROM p a LEFT JOIN p b ON b.reader = 's' AND b.px < a.px WHERE a.reader = 'r' GROUP BY 1",
+        "level_match_nearest": f"WITH p AS (SELECT * FROM {px}), t AS (SELECT min(c) AS target FROM (SELECT max(px) AS c FROM p GROUP BY reader)) SELECT reader, CAST(level AS INTEGER) AS level FROM p, t QUALIFY row_number() OVER (PARTITION BY reader ORDER BY abs(px - target), px, level) = 1",
+        "channel_naming": f"WITH n AS (SELECT CAST(place AS INTEGER) AS place, name FROM {_values([*enumerate(NAMES)], 'place, name')}) SELECT place, CASE WHEN count(*) OVER (PARTITION BY name) > 1 THEN name || '_' || row_number() OVER (PARTITION BY name ORDER BY place) ELSE name END AS name FROM n",
+        "block_shift_int": f'WITH {_E}, {_LAPLACE}, {_SHIFTS} SELECT "by", bx, dy, dx, score FROM sh',
+        "multires_coalesce": """WITH r AS (SELECT CAST(l_partkey % 16 AS INTEGER) AS by_, CAST(l_suppkey % 8 AS INTEGER) AS bx, CAST((l_linenumber - 1) % 3 AS INTEGER) AS level, CAST(CAST(sum(l_quantity) AS BIGINT) % 7 - 3 AS DOUBLE) AS dy,
+            CAST(count(*) % 7 - 3 AS DOUBLE) AS dx, sum(l_orderkey) % 3 = 0 AS valid FROM lineitem GROUP BY 1, 2, 3) SELECT by_ AS "by", bx, level, dy * (1 << level) AS dy, dx * (1 << level) AS dx FROM r QUALIFY row_number() OVER (PARTITION BY by_, bx ORDER BY valid DESC, level) = 1""",
+        "object_priority": """WITH c AS (SELECT DISTINCT CAST(l_partkey % 32 AS INTEGER) AS by_, CAST(l_orderkey % 32 AS INTEGER) AS bx, CAST(l_suppkey % 10 AS INTEGER) AS obj_id FROM lineitem WHERE l_quantity > 45), o AS (SELECT obj_id, count(*) AS area FROM c GROUP BY 1),
+            b AS (SELECT by_, bx, obj_id FROM c JOIN o USING (obj_id) QUALIFY row_number() OVER (PARTITION BY by_, bx ORDER BY area DESC, obj_id) = 1), g AS (SELECT CAST(r // 32 AS INTEGER) AS by_, CAST(r % 32 AS INTEGER) AS bx FROM range(1024) t(r))
+            SELECT by_ AS "by", bx, obj_id FROM g LEFT JOIN b USING (by_, bx)""",
+        "warp_nearest": f"WITH {_RGB}, {src} SELECT s.y, s.x, coalesce(l.v, 0) AS v FROM src s LEFT JOIN l ON l.y = CAST(floor(sy + 0.5e0) AS INTEGER) AND l.x = CAST(floor(sx + 0.5e0) AS INTEGER)",
+        "warp_bilinear": f"""WITH {_RGB}, {src}, c AS (SELECT s.y, s.x, CAST(floor(sy) AS INTEGER) + a AS py, CAST(floor(sx) AS INTEGER) + b AS px, (CASE a WHEN 0 THEN 1 - (sy - floor(sy)) ELSE sy - floor(sy) END) * (CASE b WHEN 0 THEN 1 - (sx - floor(sx)) ELSE sx - floor(sx) END) AS k
+            FROM src s, (VALUES (0), (1)) p(a), (VALUES (0), (1)) q(b)) SELECT c.y, c.x, round(sum(coalesce(l.v, 0) * k), 6) AS v FROM c LEFT JOIN l ON l.y = py AND l.x = px GROUP BY 1, 2""",
+        "mutual_nn_hamming": f"""WITH {_E}, {codes("o", 0)}, {codes("t", 1)}, p AS (SELECT o.id AS i, t.id AS j, CAST(bit_count(xor(o.code, t.code)) AS INTEGER) AS d FROM o, t)
+            SELECT i, j, d FROM p QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, j) = 1 AND row_number() OVER (PARTITION BY j ORDER BY d, i) = 1""",
+        "flow_lab": f"""WITH {_E}, {_LAPLACE}, {_SHIFTS}, z AS (SELECT "by", bx, dx / greatest({flow}, 2e0) AS a, dy / greatest({flow}, 2e0) AS b FROM sh) SELECT "by", bx, round(sqrt(a * a + b * b) * 50, 6) AS l, round(a * 100, 6) AS a, round(b * 100, 6) AS b FROM z""",
+    }
