@@ -133,7 +133,7 @@ class LanguageModel:
         if not self.languages:
             return out
         some = [(i, self.letters(t)) for i, t in enumerate(texts) if t]
-        some = [(i, t) for i, t in some if t.max() > 0 and any(map(str.isalpha, texts[i]))]
+        some = [(i, t) for i, t in some if len(t) and t.max() > 0 and any(map(str.isalpha, texts[i]))]
         at = 0
         while at < len(some):
             to, letters = at, 0
