@@ -7,12 +7,14 @@ contiguous slice of a table. Bands of `rows` coordinates bucket the sets; links
 made by the exact Jaccard similarity of the full sets.
 
 Copies of one set are collapsed to their smallest id before anything else. A bucket is joined
-to its smallest member first (a star, not all pairs); members that this leaves outside the
-bucket's component are then compared with everything of another component in the bucket, behind
-filters on set size and on a sketch of the signature, so that no link between components is
-lost and a group of copies never becomes all its pairs. The sketch filter lies five standard
-deviations under the threshold; with 32 bands of 4 rows a pair at similarity 0.8 is missed with
-a chance of 5e-8.
+to its smallest member first (a star, not all pairs), behind filters on set size and on a sketch
+of the signature. Members that this leaves outside the component of the bucket's smallest, the
+base, are gathered for each base over all buckets and compared with each other and with the
+base's members by the exact similarity, in tiles of two blocks: nothing is listed pair by pair,
+and a tile gives back only links that join two components. So no link between components is lost
+and a group of copies never becomes all its pairs. The star's sketch filter lies five standard
+deviations under the threshold; with 32 bands of 4 rows a pair at similarity 0.8 shares no
+bucket with a chance of 5e-8.
 
 Defined results: null, empty and blank texts have no shingles and are linked with nothing; a
 text with fewer words than a shingle is one shingle; rows that share an id are one node; a row
@@ -27,12 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, checkpointed, components, mixed, signed, text_slices
+from .common import U64, Words, checkpointed, components, mixed, signed, spans, text_slices
 
 UNIVERSE = 1 << 18
 BANDS, ROWS = 32, 4
 #: Of 128 two-bit codes, so many agree at least; at similarity 0.8 the mean is 108.8, the deviation 4.
 AGREE = 88
+#: About how many documents and shingles one block of a tile holds, and into how many parts a hot base is dealt.
+BLOCK_ROWS, BLOCK_SHINGLES, SALTS = 1024, 300_000, 16
 
 
 def shingle_sets(w: Words, words: int) -> list[np.ndarray]:
@@ -148,6 +152,108 @@ def _close(x: str, y: str, percent: int) -> str:
     return f"{sizes} and 128 - ({differ}) >= {AGREE if percent >= 80 else 0}"
 
 
+def _meet(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each left with each right set.
+
+    Shingles that many sets of both sides hold are counted by matrix product, the others by
+    listing who holds them, both in slices of bounded size."""
+    both = np.intersect1d(np.unique(np.concatenate(left)), np.unique(np.concatenate(right)), assume_unique=True)
+    sides = []
+    for sets in (left, right):
+        of, shingle = np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate(sets)
+        at = np.minimum(np.searchsorted(both, shingle), max(len(both) - 1, 0))
+        here = both[at] == shingle if len(both) else np.zeros(len(shingle), dtype=bool)
+        order = np.argsort(at[here], kind="stable")
+        holder = of[here][order]
+        n = np.bincount(at[here], minlength=len(both))
+        sides.append((holder, np.cumsum(n) - n, n))
+    (hl, fl, nl), (hr, fr, nr) = sides
+    out = np.zeros(len(left) * len(right), dtype=np.float32)
+    often = nl * nr * 64 > len(left) * len(right)
+    dense = np.flatnonzero(often)
+    table_ = out.reshape(len(left), len(right))
+    for k in range(0, len(dense), 2048):
+        some = dense[k : k + 2048]
+        x, y = (np.zeros((len(sets), len(some)), dtype=np.float32) for sets in (left, right))
+        x[hl[spans(fl[some], nl[some])], np.repeat(np.arange(len(some)), nl[some])] = 1
+        y[hr[spans(fr[some], nr[some])], np.repeat(np.arange(len(some)), nr[some])] = 1
+        table_ += x @ y.T
+    rare = np.flatnonzero(~often)
+    cut = np.flatnonzero(np.diff(np.cumsum(nl[rare] * nr[rare]) >> 21)) + 1
+    for some in np.split(rare, cut):
+        holders = spans(fl[some], nl[some])
+        times = np.repeat(nr[some], nl[some])
+        pair = np.repeat(hl[holders], times) * len(right) + hr[spans(np.repeat(fr[some], nl[some]), times)]
+        which, n = np.unique(pair, return_counts=True)
+        out[which] += n
+    return table_
+
+
+def _tile(words: int, percent: int):
+    """Links between the components of one tile, of those that say the same only the first."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        found: list[tuple[int, int]] = []
+        text = pa.concat_arrays(rows.column("text").chunks)
+        sets = []
+        for _, _, buf, offsets in text_slices(text):
+            sets += shingle_sets(Words(buf, offsets, lower=True), words)
+        ids, component, is_left = (rows.column(c).to_numpy() for c in ("doc_id", "component", "is_left"))
+        size = np.array([len(x) for x in sets], dtype=np.int64)
+        rights = np.flatnonzero(~is_left)
+        lefts = np.flatnonzero(is_left)
+        if not len(rights):
+            rights = lefts
+        step = max(1, (1 << 22) // max(1, len(rights)))
+        parent: dict[int, int] = {}
+
+        def top(c: int) -> int:
+            while parent.setdefault(c, c) != c:
+                c = parent[c]
+            return c
+
+        for k in range(0, len(lefts), step):
+            mine = lefts[k : k + step]
+            common = _meet([sets[i] for i in mine], [sets[i] for i in rights]).astype(np.int64)
+            union = size[mine][:, None] + size[rights][None, :] - common
+            i, j = np.nonzero((100 * common >= percent * union) & (common > 0) & (component[mine][:, None] != component[rights][None, :]))
+            i, j = mine[i], rights[j]
+            _, one = np.unique(np.stack([component[i], component[j]]), axis=1, return_index=True)
+            for x, y in zip(i[one].tolist(), j[one].tolist()):
+                p, q = top(int(component[x])), top(int(component[y]))
+                if p != q:
+                    parent[max(p, q)] = min(p, q)
+                    found.append((int(ids[x]), int(ids[y])))
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+    return run
+
+
+def _settled(near: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) that join the components met in open buckets.
+
+    near: doc_id, component, n_shingles and base, the component of a bucket's smallest member.
+    All that met one base are its outsiders. Outsiders are held against each other and against the
+    base's own members, in tiles of two blocks. A document comes once for each tile, not once for
+    each partner or bucket, and a tile holds about BLOCK_SHINGLES and BLOCK_ROWS twice at most."""
+    outside = F.col("component") != F.col("base")
+
+    def blocks(which) -> F.Column:
+        rows, total = F.sum(F.when(which, 1).otherwise(0)), F.sum(F.when(which, F.col("n_shingles")).otherwise(0))
+        return F.ceil(F.greatest(F.lit(1.0), rows / BLOCK_ROWS, total / BLOCK_SHINGLES)).cast("int")
+
+    sizes = near.groupBy("base").agg(blocks(outside).alias("s"), blocks(~outside).alias("m"))
+    sizes = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = near.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SALTS)).cast("int")).join(sizes, ["base", "salt"])
+    dealt = dealt.withColumn("at", F.pmod(F.xxhash64("doc_id"), F.when(outside, F.col("s")).otherwise(F.col("m"))).cast("int"))
+    places = F.expr("""case when component = base then transform(sequence(0, s - 1), k -> named_struct('i', k, 'inner', true, 'j', at, 'is_left', false))
+        else concat(transform(sequence(at, s - 1), k -> named_struct('i', at, 'inner', false, 'j', k, 'is_left', true)),
+                    transform(sequence(0, m - 1), k -> named_struct('i', at, 'inner', true, 'j', k, 'is_left', true)),
+                    transform(filter(sequence(0, s - 1), k -> k < at), k -> named_struct('i', k, 'inner', false, 'j', at, 'is_left', false))) end""")
+    tiles = dealt.join(texts.select("doc_id", "text"), "doc_id").select("base", "doc_id", "component", "text", F.explode(places).alias("p")).select("base", "p.*", "doc_id", "component", "text")
+    return tiles.groupBy("base", "i", "inner", "j").applyInArrow(_tile(words, percent), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -170,15 +276,12 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80) -> DataF
 
     # what the stars leave open: members of another component than their bucket's smallest
     label = labels.withColumnRenamed("node", "doc_id")
-    held = members.join(label, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    base = labels.select(F.col("node").alias("low"), F.col("component").alias("base"))
-    held = held.join(base, "low", "left").withColumn("base", F.coalesce("base", "low"))
+    held = members.join(label, "doc_id", "left").select("key", "doc_id", "low", F.coalesce("component", "doc_id").alias("component"))
+    base = held.filter("doc_id = low").select("key", F.col("component").alias("base")).distinct()
+    held = held.select("key", "doc_id", "component").join(base, "key")
     open_keys = held.filter("component <> base").select("key").distinct()
-    held = checkpointed(held.join(open_keys, "key", "left_semi").join(brief, "doc_id"))
-    left, every = held.filter("component <> base").alias("x"), held.filter("doc_id <> low").alias("y")
-    once = F.expr("x.key = y.key and x.component <> y.component and (y.component = y.base or x.doc_id < y.doc_id) and " + _close("x", "y", percent))
-    rest = left.join(every, once).select(F.greatest("x.doc_id", "y.doc_id").alias("a"), F.least("x.doc_id", "y.doc_id").alias("b")).distinct()
-    second = _links(rest, rep_texts, words, percent)
+    near = held.join(open_keys, "key", "left_semi").select("base", "doc_id", "component").distinct()
+    second = _settled(checkpointed(near.join(brief.select("doc_id", "n_shingles"), "doc_id")), rep_texts, words, percent)
 
     shared = full.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("doc_id")
     same_id = full.join(shared, "doc_id", "left_semi").join(copies, ["s1", "s2", "n_shingles"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
