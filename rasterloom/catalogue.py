@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import colour, geometry
-from .operators import align, resample, stencil, threshold
+from .operators import align, objects, resample, stencil, threshold
 from .plans import displacement
 from .sources import rasters
 
@@ -20,6 +20,9 @@ LEVELS = [("a", 0, 5000, 3000), ("b", 0, 1025, 400), ("c", 0, 500, 500), ("d", 0
 PIXELS = [("r", 0, 1.0), ("r", 1, 2.0), ("r", 2, 4.0), ("s", 0, 0.5), ("s", 1, 1.0), ("s", 2, 2.0), ("s", 3, 8.0)]
 NAMES = ["DAPI", "CD3", "DAPI", "CD8", "CD3", "DAPI", "Ki67"]
 
+#: Boxes (id, rs, re, cs, ce) on a thumbnail.
+BOXES = [(0, 0, 9, 0, 7), (1, 5, 30, 12, 44), (2, 40, 64, 3, 20), (3, 33, 36, 50, 64)]
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -81,6 +84,19 @@ def _objects(spark: SparkSession, d: str) -> DataFrame:
     return align.largest_object(cells, covers, objects)
 
 
+def _boxes(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(BOXES, "id int, rs int, re int, cs int, ce int")
+
+
+def _cover(spark: SparkSession, covered: bool) -> DataFrame:
+    cells = spark.range(32 * 32).select((F.col("id") / 32).cast("int").alias("by"), (F.col("id") % 32).cast("int").alias("bx"))
+    return objects.blocks_by_cover(cells, objects.boxes_in_blocks(_boxes(spark), 8, 16, 24), covered)
+
+
+def _segments(spark: SparkSession, d: str) -> DataFrame:
+    return objects.boxes_of(objects.label_objects(_l(spark, d).filter("v >= 200")))
+
+
 def _flow(spark: SparkSession, d: str) -> DataFrame:
     s = displacement.block_shifts(spark, d)
     light, a, b = colour.flow_lab("dy", "dx", 2.0)
@@ -127,6 +143,15 @@ def queries() -> dict[str, Query]:
         "warp_bilinear": lambda s, d: resample.warp_bilinear(_l(s, d), _l(s, d).select("y", "x"), BACK),
         "mutual_nn_hamming": lambda s, d: align.mutual_nearest(_codes(s, d, 0), _codes(s, d, 1)),
         "flow_lab": _flow,
+        "repeat_upsample": lambda s, d: stencil.repeated(_l(s, d), 2, 3),
+        "block_labels": lambda s, d: stencil.block_labels(_l(s, d), 24, 20, SIZE),
+        "normalise_uint8": lambda s, d: threshold.normalised(_e(s, d)),
+        "thumbnail_level": lambda s, d: geometry.thumbnail_level(geometry.level_geometry(s.createDataFrame([(i, h, w) for i, _, h, w in LEVELS], "image string, h long, w long")), 2000),
+        "segment_objects": _segments,
+        "transform_bbox": lambda s, d: objects.boxes_mapped(_boxes(s), BACK),
+        "bbox_blocks": lambda s, d: objects.boxes_in_blocks(_boxes(s), 8, 16, 24),
+        "blocks_covered": lambda s, d: _cover(s, True),
+        "blocks_uncovered": lambda s, d: _cover(s, False),
     }
 
 
@@ -174,6 +199,10 @@ def oracle_sql() -> dict[str, str]:
     rescale = lambda how: f"WITH {_RGB} SELECT y, x, CAST({how}((least(greatest(CAST(v AS DOUBLE), 20e0), 230e0) - 20e0) / 210e0 * 255) AS INTEGER) AS v FROM l"
     median = f"""WITH {_RGB} SELECT p.y, p.x, CAST(median(q.v) AS DOUBLE) AS v FROM l p, {_steps(1)} a, {_steps(1)} b, l q
         WHERE q.y = least(greatest(p.y + a.k, 0), {SIZE - 1}) AND q.x = least(greatest(p.x + b.k, 0), {SIZE - 1}) GROUP BY 1, 2"""
+    boxes = _values(BOXES, "id, rs, re, cs, ce")
+    ranges = f"SELECT CAST(id AS INTEGER) AS id, CAST(floor(rs * 8e0 / 16) AS INTEGER) AS rs, CAST(ceil(re * 8e0 / 16) AS INTEGER) AS re, CAST(floor(cs * 8e0 / 24) AS INTEGER) AS cs, CAST(ceil(ce * 8e0 / 24) AS INTEGER) AS ce FROM {boxes}"
+    grid = 'SELECT CAST(r // 32 AS INTEGER) AS "by", CAST(r % 32 AS INTEGER) AS bx FROM range(1024) t(r)'
+    inside = 'g."by" >= k.rs AND g."by" < k.re AND g.bx >= k.cs AND g.bx < k.ce'
     flow = "sqrt(CAST(dy * dy + dx * dx AS DOUBLE))"
     return {
         "raster_scan": f"WITH {_E} SELECT y, x, v FROM e",
@@ -219,4 +248,17 @@ def oracle_sql() -> dict[str, str]:
         "mutual_nn_hamming": f"""WITH {_E}, {codes("o", 0)}, {codes("t", 1)}, p AS (SELECT o.id AS i, t.id AS j, CAST(bit_count(xor(o.code, t.code)) AS INTEGER) AS d FROM o, t)
             SELECT i, j, d FROM p QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, j) = 1 AND row_number() OVER (PARTITION BY j ORDER BY d, i) = 1""",
         "flow_lab": f"""WITH {_E}, {_LAPLACE}, {_SHIFTS}, z AS (SELECT "by", bx, dx / greatest({flow}, 2e0) AS a, dy / greatest({flow}, 2e0) AS b FROM sh) SELECT "by", bx, round(sqrt(a * a + b * b) * 50, 6) AS l, round(a * 100, 6) AS a, round(b * 100, 6) AS b FROM z""",
+        "repeat_upsample": f"WITH {_RGB} SELECT CAST(y * 2 + p.r AS INTEGER) AS y, CAST(x * 3 + q.r AS INTEGER) AS x, v FROM l, range(2) p(r), range(3) q(r)",
+        "block_labels": f"WITH {_RGB} SELECT y, x, CAST(y // 24 * 4 + x // 20 + 1 AS INTEGER) AS label FROM l",
+        "normalise_uint8": f"WITH {_E}, m AS (SELECT CAST(min(v) AS DOUBLE) AS lo, CAST(max(v) AS DOUBLE) AS hi FROM e) SELECT y, x, CAST(round_even((v - lo) * (255e0 / (hi - lo)), 0) AS INTEGER) AS v FROM e, m",
+        "thumbnail_level": f"""WITH i AS (SELECT * FROM {level_rows}), s AS (SELECT image, h, w, CAST(r AS INTEGER) AS level, CAST(1 AS BIGINT) << r AS p FROM i, range(32) t(r)),
+            k AS (SELECT image, level, {up('h', 'p')} + {up('w', 'p')} AS sides FROM s WHERE level = 0 OR greatest(h, w) > 1024 * (p // 2)) SELECT image, level FROM k QUALIFY row_number() OVER (PARTITION BY image ORDER BY abs(sides / 2e0 - 2000), level) = 1""",
+        "segment_objects": f"""WITH RECURSIVE {_RGB}, m AS (SELECT y, x, (CAST(y AS BIGINT) << 32) + x AS spot FROM l WHERE v >= 200), t(seed, y, x) AS (SELECT spot, y, x FROM m UNION
+            SELECT t.seed, m.y, m.x FROM t, (VALUES (-1), (0), (1)) p(a), (VALUES (-1), (0), (1)) q(b), m WHERE m.y = t.y + a AND m.x = t.x + b), f AS (SELECT y, x, min(seed) AS label FROM t GROUP BY y, x)
+            SELECT label, min(y) AS rs, max(y) + 1 AS re, min(x) AS cs, max(x) + 1 AS ce, count(*) AS area FROM f GROUP BY label""",
+        "transform_bbox": f"""WITH c AS (SELECT id, px * {a}e0 + py * {b}e0 + {c}e0 AS sx, px * {d}e0 + py * {e}e0 + {f}e0 AS sy FROM (SELECT id, unnest([cs, cs, ce, ce]) AS px, unnest([rs, re, rs, re]) AS py FROM {boxes}))
+            SELECT CAST(id AS INTEGER) AS id, CAST(greatest(floor(min(sy)), 0) AS INTEGER) AS rs, CAST(ceil(max(sy)) AS INTEGER) AS re, CAST(greatest(floor(min(sx)), 0) AS INTEGER) AS cs, CAST(ceil(max(sx)) AS INTEGER) AS ce FROM c GROUP BY id""",
+        "bbox_blocks": f"SELECT * FROM ({ranges})",
+        "blocks_covered": f"WITH k AS ({ranges}), g AS ({grid}) SELECT * FROM g WHERE EXISTS (FROM k WHERE {inside})",
+        "blocks_uncovered": f"WITH k AS ({ranges}), g AS ({grid}) SELECT * FROM g WHERE NOT EXISTS (FROM k WHERE {inside})",
     }

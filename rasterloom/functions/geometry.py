@@ -59,3 +59,9 @@ def rotation(k: int, height: int, width: int) -> tuple[float, ...]:
 def flip(axis: int, height: int, width: int) -> tuple[float, ...]:
     """The matrix that mirrors rows (axis 0) or columns (axis 1)."""
     return (1.0, 0.0, 0.0, 0.0, -1.0, height - 1.0) if axis == 0 else (-1.0, 0.0, width - 1.0, 0.0, 1.0, 0.0)
+
+
+def thumbnail_level(levels: DataFrame, size: int) -> DataFrame:
+    """(image, level): the level whose mean side is nearest to size, the first of equals; levels as of level_geometry."""
+    away = F.abs((F.col("height") + F.col("width")) / 2 - size)
+    return levels.groupBy("image").agg(F.min_by("level", F.struct(away, F.col("level"))).alias("level"))

@@ -55,3 +55,15 @@ def local_entropy(pixels: DataFrame, reach: int, height: int, width: int) -> Dat
     counts = _offsets(pixels, reach).filter(inside).groupBy("y", "x", "v").agg(F.count(F.lit(1)).alias("c"))
     whole = counts.groupBy("y", "x").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.log2("c")).alias("s"))
     return whole.select("y", "x", (F.log2("n") - F.col("s") / F.col("n")).alias("entropy"))
+
+
+def repeated(image: DataFrame, rows: int, columns: int) -> DataFrame:
+    """Each pixel as a block of rows x columns equal pixels."""
+    tall = image.select(F.explode(F.expr(f"transform(sequence(0, {rows - 1}), k -> y * {rows} + k)")).alias("y"), "x", "v")
+    return tall.select("y", F.explode(F.expr(f"transform(sequence(0, {columns - 1}), k -> x * {columns} + k)")).alias("x"), "v")
+
+
+def block_labels(image: DataFrame, block_h: int, block_w: int, width: int) -> DataFrame:
+    """(y, x, label): the number of each pixel's block, from 1 on, row by row; cut blocks count."""
+    across = -(-width // block_w)
+    return image.select("y", "x", F.expr(f"int((y div {block_h}) * {across} + x div {block_w} + 1)").alias("label"))

@@ -74,3 +74,10 @@ def matched_histogram(pixels: DataFrame, reference: DataFrame) -> DataFrame:
     found = own.join(F.broadcast(steps), (F.col("q") >= F.col("q1")) & (F.col("q2").isNull() | (F.col("q") < F.col("q2"))), "left")  # 256 values at most
     between = F.col("v1") + F.coalesce((F.col("q") - F.col("q1")) / (F.col("q2") - F.col("q1")) * (F.col("v2") - F.col("v1")), F.lit(0.0))
     return found.select(own["v"].cast("int").alias("v"), F.round(F.when(F.col("q") < F.col("q0"), F.col("least")).otherwise(between), 6).alias("matched"))
+
+
+def normalised(image: DataFrame) -> DataFrame:
+    """Values spread to 0..255 by the image's own ends, half to even; a flat image is 0."""
+    ends = F.broadcast(image.agg(F.min("v").cast("double").alias("lo"), F.max("v").cast("double").alias("hi")))  # one row
+    spread = F.when(F.col("hi") > F.col("lo"), F.rint((F.col("v") - F.col("lo")) * (255 / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))))).otherwise(0)
+    return image.crossJoin(ends).select("y", "x", spread.cast("int").alias("v"))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rasterloom.functions import geometry
-from rasterloom.operators import align, resample, threshold
+from rasterloom.operators import align, objects, resample, threshold
 
 
 def test_level_counts():
@@ -48,3 +48,33 @@ def test_stray_and_missing_shifts_are_replaced(spark):
     for k in (5, 9):
         r = out[rows[k][:2]]
         assert not r.passed and (r.fitted_dy, r.fitted_dx) == pytest.approx((r.by, 1.0), abs=1e-6)
+
+
+def _spiral(n):
+    y, x, cells, dy, dx = 0, 0, {(0, 0)}, 0, 1
+    while True:
+        ahead, beyond = (y + dy, x + dx), (y + 2 * dy, x + 2 * dx)
+        free = 0 <= ahead[0] < n and 0 <= ahead[1] < n and ahead not in cells and beyond not in cells
+        if not free:
+            dy, dx = dx, -dy
+            ahead, beyond = (y + dy, x + dx), (y + 2 * dy, x + 2 * dx)
+            if ahead in cells or beyond in cells or not (0 <= ahead[0] < n and 0 <= ahead[1] < n):
+                return cells
+        y, x = ahead
+        cells.add(ahead)
+
+
+def test_objects_of_a_winding_mask(spark):
+    cells = sorted(_spiral(15)) + [(30, 30), (31, 31), (31, 29), (40, 3), (40, 3)]
+    found = objects.boxes_of(objects.label_objects(spark.createDataFrame(cells, "y int, x int"))).orderBy("label").collect()
+    assert [tuple(r)[1:] for r in found] == [(0, 15, 0, 15, len(cells) - 5), (30, 32, 29, 32, 3), (40, 41, 3, 4, 1)]
+
+
+def test_objects_of_an_empty_mask(spark):
+    empty = spark.createDataFrame([], "y int, x int")
+    assert objects.boxes_of(objects.label_objects(empty)).count() == 0
+
+
+def test_flat_image_normalises_to_zero(spark):
+    flat = spark.createDataFrame([(0, 0, 7), (0, 1, 7)], "y int, x int, v int")
+    assert {r.v for r in threshold.normalised(flat).collect()} == {0}
