@@ -4,6 +4,7 @@ import hashlib
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -222,3 +223,36 @@ def test_suffix_automaton_finds_longest_matches():
                 state = auto[state, ord(c) - 97]
                 assert state >= 0
     assert auto[auto[0, 1], 1] == -1  # no bb
+
+
+def test_minhash_tiles_of_many_blocks(spark, monkeypatch):
+    """Families at similarities around the threshold, in tiles so small that a base has many."""
+    rng = np.random.default_rng(5)
+    texts = []
+    for family in range(3):
+        base = [f"f{family}w{k}" for k in range(120)]
+        for _ in range(40):
+            words = list(base)
+            for k in rng.choice(120, rng.integers(0, 14), replace=False):
+                words[k] = f"x{rng.integers(1000)}"
+            texts.append(" ".join(words))
+    order = rng.permutation(len(texts)).tolist()
+    rows = [(i, texts[k]) for i, k in enumerate(order)]
+    sets = [set(zip(t.split(), t.split()[1:])) for _, t in rows]
+    want = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                low, high = sorted((want[i], want[j]))
+                want = [low if c == high else c for c in want]
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 4)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=2, percent=80).collect()}
+    assert [got[i] for i in range(len(rows))] == want
+    assert len(set(want)) > 3
+
+
+def test_set_intersections_in_slices():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, n, 200)).astype(np.uint64) for n in (50, 400, 5000, 10**6)] * 20 + [np.zeros(0, np.uint64)]
+    got = minhash._meet(sets[:30], sets[30:])
+    assert (got == [[len(np.intersect1d(a, b)) for b in sets[30:]] for a in sets[:30]]).all()
