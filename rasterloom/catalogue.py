@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import colour, geometry
 from .operators import align, objects, resample, stencil, threshold
 from .plans import displacement
-from .sources import rasters
+from .sources import rasters, slides
 
 SIZE = 64
 #: Destination to source: a small turn and a half-pixel move.
@@ -23,6 +23,8 @@ NAMES = ["DAPI", "CD3", "DAPI", "CD8", "CD3", "DAPI", "Ki67"]
 #: Boxes (id, rs, re, cs, ce) on a thumbnail.
 BOXES = [(0, 0, 9, 0, 7), (1, 5, 30, 12, 44), (2, 40, 64, 3, 20), (3, 33, 36, 50, 64)]
 
+SLIDES = ["P_C04R1_CD8.svs", "P_C01R1_PD1.svs", "P_C01R3_Hem.svs", "P_C03R1_CD3.svs", "P_C03R3_DCLAMP.svs", "P_C01R2_PDL1.svs", "P_C02R1_CD4.svs"]
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -143,6 +145,7 @@ def queries() -> dict[str, Query]:
         "warp_bilinear": lambda s, d: resample.warp_bilinear(_l(s, d), _l(s, d).select("y", "x"), BACK),
         "mutual_nn_hamming": lambda s, d: align.mutual_nearest(_codes(s, d, 0), _codes(s, d, 1)),
         "flow_lab": _flow,
+        "slide_list": lambda s, d: slides.slide_list(s.createDataFrame([(n,) for n in SLIDES], "filename string"), "%Hem%"),
         "repeat_upsample": lambda s, d: stencil.repeated(_l(s, d), 2, 3),
         "block_labels": lambda s, d: stencil.block_labels(_l(s, d), 24, 20, SIZE),
         "normalise_uint8": lambda s, d: threshold.normalised(_e(s, d)),
@@ -248,6 +251,9 @@ def oracle_sql() -> dict[str, str]:
         "mutual_nn_hamming": f"""WITH {_E}, {codes("o", 0)}, {codes("t", 1)}, p AS (SELECT o.id AS i, t.id AS j, CAST(bit_count(xor(o.code, t.code)) AS INTEGER) AS d FROM o, t)
             SELECT i, j, d FROM p QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, j) = 1 AND row_number() OVER (PARTITION BY j ORDER BY d, i) = 1""",
         "flow_lab": f"""WITH {_E}, {_LAPLACE}, {_SHIFTS}, z AS (SELECT "by", bx, dx / greatest({flow}, 2e0) AS a, dy / greatest({flow}, 2e0) AS b FROM sh) SELECT "by", bx, round(sqrt(a * a + b * b) * 50, 6) AS l, round(a * 100, 6) AS a, round(b * 100, 6) AS b FROM z""",
+        "slide_list": f"""WITH n AS (SELECT filename, string_split(filename, '_') AS t, filename LIKE '%Hem%' AS hit FROM {_values([(n,) for n in SLIDES], 'filename')}),
+            k AS (SELECT *, row_number() OVER (ORDER BY t[-2], filename) AS k FROM n), f AS (SELECT min(k) AS f FROM k WHERE hit)
+            SELECT CAST(CASE WHEN k = f THEN 0 WHEN k < f THEN k ELSE k - 1 END AS INTEGER) AS place, filename, replace(t[-1], '.svs', '') || '-' || t[-2] AS channel, CASE WHEN hit THEN 'hematoxylin' ELSE 'aec' END AS mode FROM k, f""",
         "repeat_upsample": f"WITH {_RGB} SELECT CAST(y * 2 + p.r AS INTEGER) AS y, CAST(x * 3 + q.r AS INTEGER) AS x, v FROM l, range(2) p(r), range(3) q(r)",
         "block_labels": f"WITH {_RGB} SELECT y, x, CAST(y // 24 * 4 + x // 20 + 1 AS INTEGER) AS label FROM l",
         "normalise_uint8": f"WITH {_E}, m AS (SELECT CAST(min(v) AS DOUBLE) AS lo, CAST(max(v) AS DOUBLE) AS hi FROM e) SELECT y, x, CAST(round_even((v - lo) * (255e0 / (hi - lo)), 0) AS INTEGER) AS v FROM e, m",
