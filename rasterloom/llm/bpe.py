@@ -7,7 +7,8 @@ them is certain. Words are cut there; the fragments are encoded independently, o
 their ids are concatenated.
 
 What a fragment or a word encodes to is remembered in tables of bounded size, so memory does not
-grow with the number of distinct words. Decoding looks each id up and joins the tokens the way
+grow with the number of distinct words. A Python worker keeps its coder, tables included, from
+one task to the next. Decoding looks each id up and joins the tokens the way
 the tokenizer file says (no decoder: by blanks).
 
 Defined results: null text is treated as empty; the empty text has no ids and decodes to the
@@ -20,6 +21,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Words, and fragments, in one table.
 _MOST_REMEMBERED = 200_000
 _NO_MERGE = 1 << 60
 
@@ -66,7 +69,8 @@ class ForcedBoundaryBpe:
         self.pattern = regex.compile(split["pattern"]["Regex"])
         self.cut_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.fragments: dict[tuple[str, bool], tuple[int, ...]] = {}
-        self.words: dict[str, tuple[bytes, int]] = {}
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _pairs_inside(self) -> set[str]:
         """Pairs of letters that stand side by side inside some token."""
@@ -127,20 +131,23 @@ class ForcedBoundaryBpe:
                 begin = i
         return (*out, *self._fragment(letters[begin:], True))
 
-    def _encode_plain(self, text: str, out: list[bytes]) -> int:
-        """Add the ids of text without special tokens, four bytes each, and count them."""
-        words, n = self.words, 0
+    def _encode_plain(self, text: str, out: list[bytes]) -> None:
+        """Add the ids of text without special tokens, four bytes each.
+
+        Words are remembered in two tables: a full one becomes the older, and what is asked for
+        there moves to the new one, so frequent words stay."""
+        get = self.words.get
         for word in self.pattern.findall(self.normalise(text)):
-            known = words.get(word)
+            known = get(word)
             if known is None:
-                ids = self.encode_word(word)
-                known = np.array(ids, dtype="<u4").tobytes(), len(ids)
-                if len(words) >= _MOST_REMEMBERED:
-                    words.clear()
-                words[word] = known
-            out.append(known[0])
-            n += known[1]
-        return n
+                known = self.older.get(word)
+                if known is None:
+                    known = np.array(self.encode_word(word), dtype="<u4").tobytes()
+                if len(self.words) >= _MOST_REMEMBERED:
+                    self.older, self.words = self.words, {}
+                    get = self.words.get
+                self.words[word] = known
+            out.append(known)
 
     def encode_bytes(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
@@ -160,9 +167,15 @@ class ForcedBoundaryBpe:
         return " ".join([tokens[i] for i in ids])
 
 
+@lru_cache(maxsize=2)
+def coder_of(path: str) -> ForcedBoundaryBpe:
+    """The coder of a tokenizer file, once in each Python worker."""
+    return ForcedBoundaryBpe(path)
+
+
 def _encode(path: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = ForcedBoundaryBpe(path)
+        coder = coder_of(path)
         for b in batches:
             for at in range(0, len(b), 256):
                 part = b.slice(at, 256)
