@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import colour, geometry
-from .operators import align, objects, resample, stencil, threshold
+from .functions import affine, colour, geometry
+from .operators import align, matching, objects, resample, stencil, threshold
 from .plans import displacement
+from .sinks import pyramid
 from .sources import rasters, slides
 
 SIZE = 64
@@ -110,8 +111,43 @@ def _fft(spark: SparkSession, d: str) -> DataFrame:
     return align.fft_shifts(one.join(two.withColumnRenamed("w", "w2"), ["by", "bx", "iy", "ix"]), displacement.BLOCK)
 
 
+def _grid_shifts(spark: SparkSession, d: str) -> DataFrame:
+    parts = rasters.table(spark, d, "part")
+    known = F.col("p_size") % 7 != 0
+    move = [F.when(known, v.cast("double")).alias(n) for n, v in (("dy", F.col("p_size") - 25), ("dx", F.floor("p_retailprice") % 11 - 5))]
+    return parts.select(F.expr("p_partkey div 16").cast("int").alias("by"), (F.col("p_partkey") % 16).cast("int").alias("bx"), *move)
+
+
+def _matches(spark: SparkSession, d: str) -> DataFrame:
+    """Points of parts and where BACK moves them; two in seven are elsewhere."""
+    a, b, c, e, f, g = BACK
+    x, y = F.col("p_partkey") % 97, F.col("p_size").cast("double")
+    wrong = F.when(F.col("p_partkey") % 7 < 2, F.col("p_partkey") % 1013 + 500).otherwise(0)
+    return rasters.table(spark, d, "part").select((F.col("p_partkey") % 4).alias("config"), x.cast("double").alias("sx"), y.alias("sy"), (x * a + y * b + c + wrong).alias("tx"), (x * e + y * f + g - wrong).alias("ty"))
+
+
+def _fitted(spark: SparkSession, d: str) -> DataFrame:
+    fit = matching.robust_affine(_matches(spark, d), reach=5.0)
+    return fit.select("config", *[F.round(c, 6).alias(c) for c in affine.ENTRIES], "inliers", "matches")
+
+
+def _chosen(spark: SparkSession, d: str) -> DataFrame:
+    counts = rasters.table(spark, d, "lineitem").groupBy((F.col("l_orderkey") % 8).alias("config")).agg(F.expr("count_if(l_quantity > 40)").alias("inliers"))
+    return matching.best_configuration(counts, fold=1.05).withColumn("ratio", F.round("ratio", 6))
+
+
+def _channels(spark: SparkSession, d: str) -> DataFrame:
+    return _l(spark, d).withColumn("channel", F.lit(0)).unionByName(_rgb(spark, d).select("y", "x", F.col("g").alias("v"), F.lit(1).alias("channel")))
+
+
 def queries() -> dict[str, Query]:
     return {
+        "block_matrices": lambda s, d: affine.block_matrices(_grid_shifts(s, d), BACK),
+        "full_scale_matrices": lambda s, d: affine.full_scale(s.createDataFrame([(float(r), float(m)) for r in (1, 4, 16) for m in (2, 8)], "ref_factor double, moving_factor double").select("*", *affine.columns_of(BACK))),
+        "orientation_matrices": lambda s, d: affine.orientations(s.createDataFrame([(i, h, w) for i, _, h, w in LEVELS], "image string, h int, w int")),
+        "robust_affine": _fitted,
+        "best_configuration": _chosen,
+        "pyramid_levels": lambda s, d: pyramid.pyramid_levels(_channels(s, d), 4),
         "raster_scan": _e,
         "density_scan": _l,
         "channel_extract": lambda s, d: _rgb(s, d).select("y", "x", F.col("g").alias("v")),
@@ -267,4 +303,15 @@ def oracle_sql() -> dict[str, str]:
         "bbox_blocks": f"SELECT * FROM ({ranges})",
         "blocks_covered": f"WITH k AS ({ranges}), g AS ({grid}) SELECT * FROM g WHERE EXISTS (FROM k WHERE {inside})",
         "blocks_uncovered": f"WITH k AS ({ranges}), g AS ({grid}) SELECT * FROM g WHERE NOT EXISTS (FROM k WHERE {inside})",
+        "block_matrices": f"""WITH s AS (SELECT CAST(p_partkey // 16 AS INTEGER) AS "by", CAST(p_partkey % 16 AS INTEGER) AS bx, p_size % 7 <> 0 AS known, CAST(p_size - 25 AS DOUBLE) AS dy, CAST(floor(p_retailprice) AS BIGINT) % 11 - 5e0 AS dx FROM part)
+            SELECT "by", bx, {", ".join(f"CASE WHEN known THEN {v}e0{m} END AS {n}" for n, v, m in zip(affine.ENTRIES, BACK, ("", "", " + dx", "", "", " + dy")))} FROM s""",
+        "full_scale_matrices": f"""SELECT r AS ref_factor, m AS moving_factor, {", ".join(f"{v}e0 * {w} AS {n}" for n, v, w in zip(affine.ENTRIES, BACK, ("(r / m)", "(r / m)", "r") * 2))} FROM (VALUES (1e0), (4e0), (16e0)) a(r), (VALUES (2e0), (8e0)) b(m)""",
+        "orientation_matrices": f"""WITH i AS (SELECT * FROM {level_rows}) {" UNION ALL ".join(f"SELECT image, '{t}' AS turn, " + ", ".join(f"CAST({v} AS DOUBLE) AS {n}" for n, v in zip(affine.ENTRIES, m)) + " FROM i" for t, m in (
+            ("rot0", (1, 0, 0, 0, 1, 0)), ("rot90", (0, 1, 0, -1, 0, "w - 1")), ("rot180", (-1, 0, "w - 1", 0, -1, "h - 1")), ("rot270", (0, -1, "h - 1", 1, 0, 0)),
+            ("flip_rows", (1, 0, 0, 0, -1, "h - 1")), ("flip_columns", (-1, 0, "w - 1", 0, 1, 0)), ("flip_both", (-1, 0, "w - 1", 0, -1, "h - 1"))))}""",
+        "robust_affine": f"""SELECT p_partkey % 4 AS config, {", ".join(f"{v}e0 AS {n}" for n, v in zip(affine.ENTRIES, BACK))}, count_if(p_partkey % 7 >= 2) AS inliers, count(*) AS matches FROM part GROUP BY config""",
+        "best_configuration": """WITH c AS (SELECT l_orderkey % 8 AS config, count_if(l_quantity > 40) AS inliers FROM lineitem GROUP BY config), m AS (SELECT max(inliers) AS most FROM c), r AS (SELECT most / avg(inliers) AS ratio FROM c, m WHERE inliers < most GROUP BY most)
+            SELECT (SELECT config FROM c ORDER BY inliers DESC, config LIMIT 1) AS config, most AS inliers, round((FROM r), 6) AS ratio, coalesce((FROM r) > 1.05, false) AS accepted FROM m""",
+        "pyramid_levels": f"""WITH {_RGB}, p0 AS (SELECT 0 AS channel, y, x, v FROM l UNION ALL SELECT 1, y, x, g FROM rgb), {", ".join(f"p{k} AS (SELECT channel, y // 2 AS y, x // 2 AS x, CAST(round_even(avg(v), 0) AS INTEGER) AS v FROM p{k - 1} GROUP BY channel, y // 2, x // 2)" for k in (1, 2, 3))}
+            {" UNION ALL ".join(f"SELECT {k} AS level, * FROM p{k}" for k in range(4))}""",
     }
