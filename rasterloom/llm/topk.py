@@ -82,14 +82,23 @@ class Shard:
             doc, term, freq = _terms(w)
             docs.append((doc + at).astype(np.int32))
             terms.append(term)
-            freqs.append(freq.astype(np.float64))
+            freqs.append(freq.astype(np.int32))
             sizes.append(np.diff(w.first))
         self.ids = ids
-        doc, term, tf = np.concatenate(docs), np.concatenate(terms), np.concatenate(freqs)
-        size = np.concatenate(sizes)
-        order = np.argsort(term, kind="stable")  # documents stay in order within a term
-        self.doc, term, tf = doc[order], term[order], tf[order]
-        self.impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[self.doc] / mean))
+        norm = K1 * (1 - B + B * np.concatenate(sizes) / mean)
+        term = np.concatenate(terms)
+        terms.clear()
+        order = np.argsort(term, kind="stable").astype(np.int32)  # documents stay in order within a term
+        term = term[order]
+        self.doc = np.concatenate(docs)[order]
+        docs.clear()
+        tf = np.concatenate(freqs)[order]
+        freqs.clear()
+        del order
+        self.impact = norm[self.doc]
+        self.impact += tf
+        np.divide(tf * (K1 + 1), self.impact, out=self.impact)
+        del tf
         part = self.doc // RANGE
         new = np.ones(len(term), dtype=bool)
         new[1:] = (term[1:] != term[:-1]) | (part[1:] != part[:-1])
@@ -154,6 +163,8 @@ def _search(k: int, mean: float):
             docs = docs.sort_by("doc_id").combine_chunks()
             text = docs.column("text").combine_chunks()
             shard = Shard(docs.column("doc_id").to_numpy(), text if isinstance(text, pa.Array) else text.chunk(0), mean)
+            del docs, text
+            pa.default_memory_pool().release_unused()
             for b in queries.to_batches():
                 for i in range(b.num_rows):
                     q = b.column("query_id")[i].as_py()
