@@ -15,6 +15,12 @@ def blocked(pixels: DataFrame, size: int, *values: str) -> DataFrame:
     return pixels.select((F.col("y") / size).cast("int").alias("by"), (F.col("x") / size).cast("int").alias("bx"), (F.col("y") % size).alias("iy"), (F.col("x") % size).alias("ix"), *values)
 
 
+def whole_blocks(blocks: DataFrame, size: int) -> DataFrame:
+    """The pixels of those blocks that have all their size * size pixels."""
+    own = Window.partitionBy("by", "bx")
+    return blocks.withColumn("n", F.count(F.lit(1)).over(own)).filter(F.col("n") == size * size).drop("n")
+
+
 def circular_shifts(one: DataFrame, two: DataFrame, size: int, reach: int) -> DataFrame:
     """(by, bx, dy, dx, score): the circular shift of each block's second image that correlates
     best with the first, among shifts up to reach. Both have (by, bx, iy, ix, w)."""

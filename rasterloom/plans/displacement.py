@@ -12,9 +12,9 @@ BLOCK = 16
 
 
 def displaced_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Whitened blocks of the vector raster, and the same moved circularly by a known shift."""
+    """Whitened whole blocks of the vector raster, and the same moved circularly by a known shift."""
     white = stencil.laplacian(rasters.vector_raster(rasters.table(spark, sf_dir, "embeddings")))
-    full = align.blocked(white, BLOCK, "w").filter(F.col("by") < 31)
+    full = align.whole_blocks(align.blocked(white, BLOCK, "w"), BLOCK)
     by, bx = F.col("by") % 3 - 1, F.col("bx") % 3 - 1
     moved = full.select("by", "bx", F.pmod(F.col("iy") - by, F.lit(BLOCK)).alias("iy"), F.pmod(F.col("ix") - bx, F.lit(BLOCK)).alias("ix"), "w")
     return full, moved
