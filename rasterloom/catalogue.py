@@ -68,8 +68,8 @@ def _match(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _codes(spark: SparkSession, d: str, parity: int) -> DataFrame:
-    e = _e(spark, d).filter((F.col("y") < 200) & (F.col("y") % 2 == parity) & (F.col("x") < 63))  # a keypoint set of fixed size
-    return e.groupBy(F.col("y").alias("id")).agg(F.sum(F.when(F.col("v") > 128, F.expr("shiftleft(1L, x)")).otherwise(F.lit(0).cast("long"))).alias("code"))
+    e = _e(spark, d).filter(F.col("y") % 2 == parity)
+    return e.groupBy(F.col("y").alias("id")).agg(F.bit_or(F.when(F.col("v") > 128, F.expr("shiftleft(1L, x)")).otherwise(F.lit(0).cast("long"))).alias("code"))
 
 
 def _multires(spark: SparkSession, d: str) -> DataFrame:

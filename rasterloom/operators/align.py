@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,13 +96,44 @@ def largest_object(blocks: DataFrame, covers: DataFrame, objects: DataFrame) ->
     return blocks.join(best.select("by", "bx", "obj_id"), ["by", "bx"], "left")
 
 
+#: Descriptors of a side in one tile, about.
+TILE = 2048
+#: Rows of a tile whose distances are held at once.
+_STRIP = 256
+
+
+def _nearest_in_tile(one: pa.Table, two: pa.Table) -> pa.Table:
+    """(forth, id, other, d): within a tile, the nearest of each descriptor of either side."""
+    one, two = one.sort_by("id"), two.sort_by("id")
+    i, j = (t["id"].to_numpy() for t in (one, two))
+    a, b = (t["code"].to_numpy() for t in (one, two))
+    forth, back = np.zeros(len(i), dtype=np.int64), np.zeros(len(j), dtype=np.int64)
+    far, near = np.zeros(len(i), dtype=np.int32), np.full(len(j), 65, dtype=np.int32)
+    for k in range(0, len(i) if len(j) else 0, _STRIP):
+        d = np.bitwise_count((a[k : k + _STRIP, None] ^ b[None, :]).view(np.uint64))
+        at = d.argmin(axis=1)  # the first: ids are sorted
+        forth[k : k + _STRIP], far[k : k + _STRIP] = j[at], d[np.arange(len(d)), at]
+        at = d.argmin(axis=0)
+        low = d[at, np.arange(len(j))]
+        less = low < near
+        back[less], near[less] = i[k + at[less]], low[less]
+    if not len(i) or not len(j):
+        i, j, forth, back, far, near = (x[:0] for x in (i, j, forth, back, far, near))
+    return pa.table({"forth": np.repeat([True, False], [len(i), len(j)]), "id": np.concatenate([i, j]).astype(np.int64), "other": np.concatenate([forth, back]), "d": np.concatenate([far, near])})
+
+
 def mutual_nearest(one: DataFrame, two: DataFrame) -> DataFrame:
     """(i, j, d): pairs of descriptors, each the other's nearest in Hamming distance.
 
-    Exact: every descriptor of one image is compared with every one of the other, a stated set of
-    keypoints with a fixed bound; ties go to the smaller id."""
-    d = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    pairs = one.select(F.col("id").alias("i"), F.col("code").alias("a")).crossJoin(two.select(F.col("id").alias("j"), F.col("code").alias("b"))).select("i", "j", d.alias("d"))
-    to_two = pairs.groupBy("i").agg(F.min(F.struct("d", "j")).alias("m")).select("i", F.col("m.j").alias("j"), F.col("m.d").alias("d"))
-    to_one = pairs.groupBy("j").agg(F.min(F.struct("d", "i")).alias("m")).select(F.col("m.i").alias("i"), "j")
-    return to_two.join(to_one, ["i", "j"]).select("i", "j", "d")
+    Exact: every descriptor of one image is compared with every one of the other, in tiles that
+    give a row for each descriptor and not for each pair; ties go to the smaller id. Codes have 64 bits."""
+    kind = one.schema["id"].dataType
+    rows, columns = (max(1, -(-side.count() // TILE)) for side in (one, two))
+    part = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    along = one.select(F.col("id").cast("long").alias("id"), "code").withColumn("r", part(rows)).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))))
+    down = two.select(F.col("id").cast("long").alias("id"), "code").withColumn("c", part(columns)).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
+    tiles = along.groupBy("r", "c").cogroup(down.groupBy("r", "c")).applyInArrow(_nearest_in_tile, "forth boolean, id long, other long, d int")
+    best = tiles.groupBy("forth", "id").agg(F.min(F.struct("d", "other")).alias("m"))
+    i, j = F.when(F.col("forth"), F.col("id")).otherwise(F.col("m.other")), F.when(F.col("forth"), F.col("m.other")).otherwise(F.col("id"))
+    ways = best.select(i.cast(kind).alias("i"), j.cast(kind).alias("j"), F.col("m.d").alias("d")).groupBy("i", "j").agg(F.min("d").alias("d"), F.count(F.lit(1)).alias("ways"))
+    return ways.filter("ways = 2").select("i", "j", "d")

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from rasterloom import catalogue
+from rasterloom.operators import align
 
 QUERIES = catalogue.queries()
 
@@ -23,3 +24,21 @@ def test_every_whole_block_is_used(spark, vectors, name):
     assert sorted((r.by, r.bx) for r in rows) == [(y, x) for y in range(38) for x in range(4)]
     if name != "flow_lab":
         assert all((r.dy, r.dx) == (r.by % 3 - 1, r.bx % 3 - 1) for r in rows)
+
+
+def _mutual(values):
+    bits = np.floor((values.astype("float64") + 1) * 128) > 128
+    d = (bits[0::2, None, :] != bits[None, 1::2, :]).sum(axis=2)
+    return sorted((2 * i, 2 * int(j) + 1, int(d[i, j])) for i, j in enumerate(d.argmin(axis=1)) if d[:, j].argmin() == i)
+
+
+@pytest.mark.parametrize("tile", [2048, 50])
+def test_all_vectors_and_bits_are_matched(spark, vectors, monkeypatch, tile):
+    monkeypatch.setattr(align, "TILE", tile)
+    got = sorted(tuple(r) for r in QUERIES["mutual_nn_hamming"](spark, vectors[0]).collect())
+    assert got == _mutual(vectors[1])
+
+
+def test_one_side_without_descriptors(spark):
+    none, some = (spark.createDataFrame(rows, "id int, code long") for rows in ([], [(1, -1)]))
+    assert align.mutual_nearest(none, some).count() == align.mutual_nearest(some, none).count() == 0
