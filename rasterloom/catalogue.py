@@ -57,8 +57,8 @@ def _merge(spark: SparkSession, d: str) -> DataFrame:
 
 def _brightfield(spark: SparkSession, d: str) -> DataFrame:
     image = _l(spark, d)
-    texture = stencil.local_entropy(image, 1, SIZE, SIZE).withColumn("t", F.round("entropy", 6))
-    cut = texture.agg(F.round(F.avg("t"), 6).alias("threshold"))
+    texture = stencil.local_entropy(image, 4, SIZE, SIZE).withColumn("t", F.round("entropy", 6))
+    cut = threshold.otsu(texture.select(F.col("t").alias("v")))
     out = threshold.brightfield(image.join(texture, ["y", "x"]), cut)
     return out.select(F.round("inside", 6).alias("inside"), F.round("outside", 6).alias("outside"), "brightfield")
 

@@ -6,6 +6,7 @@ import pytest
 from rasterloom import catalogue
 from rasterloom.operators import align
 
+DATA = "/root/testdata/sf0.001"
 QUERIES = catalogue.queries()
 
 
@@ -42,3 +43,19 @@ def test_all_vectors_and_bits_are_matched(spark, vectors, monkeypatch, tile):
 def test_one_side_without_descriptors(spark):
     none, some = (spark.createDataFrame(rows, "id int, code long") for rows in ([], [(1, -1)]))
     assert align.mutual_nearest(none, some).count() == align.mutual_nearest(some, none).count() == 0
+
+
+def test_brightfield_cuts_the_9_by_9_entropy_by_otsu(spark):
+    pixels = {(r.y, r.x): r.v for r in QUERIES["density_scan"](spark, DATA).collect()}
+    image, entropy = np.zeros((64, 64), dtype=int), np.zeros((64, 64))
+    for at, v in pixels.items():
+        image[at] = v
+    for y, x in pixels:
+        n = np.unique(image[max(y - 4, 0) : y + 5, max(x - 4, 0) : x + 5], return_counts=True)[1]
+        entropy[y, x] = np.round(-(n / n.sum() * np.log2(n / n.sum())).sum(), 6)
+    n, edges = np.histogram(entropy, 256)
+    centre = (edges[1:] + edges[:-1]) / 2
+    between = [n[: k + 1].sum() * n[k + 1 :].sum() * (np.average(centre[: k + 1], weights=n[: k + 1]) - np.average(centre[k + 1 :], weights=n[k + 1 :])) ** 2 for k in range(255)]
+    mask = entropy > centre[int(np.argmax(between))]
+    inside, outside = np.median(image[mask]), np.median(image[~mask])
+    assert [tuple(r) for r in QUERIES["brightfield_flag"](spark, DATA).collect()] == [(inside, outside, inside < outside)]
