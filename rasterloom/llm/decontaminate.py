@@ -3,12 +3,13 @@
 A token is a run of letters, digits and non-ASCII characters, ASCII letters lower-cased. A
 document holds an item of the benchmark if, laid side by side at some shift, `window` successive
 tokens of the item agree with the document's in at least `agree` places; an item shorter than
-that must agree in the same share of all its tokens, and items of fewer than MASK_WEIGHT tokens
-match only as a whole, and are left to `short_items`.
+that must agree in the same share of all its tokens: for 10 in 12, items of up to five tokens
+match only as a whole, those of six to eleven with one token replaced or beyond the document's ends.
 
 Seeds find the shifts. A mask looks at six of eight to ten successive tokens and ignores the
 rest, so a replaced token under a gap does not hide the passage. Together the masks are complete
-for the default of 10 in 12: whatever two places differ, one mask fits between them. Every seed
+for the default of 10 in 12: whatever two places differ, one mask fits between them. That needs
+ten tokens; an item of fewer has a mask of its own for each set of places that may differ. Every seed
 of a document that the index of the benchmark also has is verified around the hit, token by
 token, over the whole item.
 
@@ -23,6 +24,7 @@ repeated reports; rows with null ids are treated like others; other columns are
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,8 @@ from .common import PUNCTUATED, U64, Words, mixed, signed, text_slices
 #: Fixed masks: any two differing tokens among twelve leave one of these a place to match.
 MASKS = ("11101011", "1101000111", "1110011001")
 MASK_WEIGHT = 6
+#: Items of fewer tokens than the longest mask get masks of their own length.
+SHORT = max(map(len, MASKS))
 _SALT = mixed(np.arange(1, 33, dtype=U64))
 _FILTER_BITS = 22
 
@@ -60,6 +64,13 @@ def _fits(same: np.ndarray, window: int, agree: int) -> int:
     return best if best >= agree else 0
 
 
+def _short_masks(n: int, window: int, agree: int) -> Iterator[tuple[int, str]]:
+    """(first place looked at, mask) for each set of places in which an item of n tokens may differ."""
+    least = max(1, -(-agree * n // window))
+    for places in combinations(range(n), least):
+        yield places[0], "".join("1" if k in places else "0" for k in range(places[0], places[-1] + 1))
+
+
 class _Index:
     """The seeds of one block of the benchmark."""
 
@@ -71,21 +82,34 @@ class _Index:
         item_of = np.repeat(np.arange(len(items)), np.diff(w.first))
         self.masks = []
         for mask in MASKS:
-            seed = _seeds(w.code, mask)
-            at = np.flatnonzero(item_of[: len(seed)] == item_of[len(mask) - 1 :]) if len(seed) else np.zeros(0, dtype=np.int64)
-            order = at[np.argsort(seed[at], kind="stable")]
-            maybe = np.zeros(1 << _FILTER_BITS, dtype=bool)
-            maybe[(seed[order] >> U64(64 - _FILTER_BITS)).astype(np.int64)] = True
-            self.masks.append((mask, seed[order], order, maybe))
+            n = len(w.code) - len(mask) + 1
+            self._add(mask, np.flatnonzero(item_of[:n] == item_of[len(mask) - 1 :]) if n > 0 else np.zeros(0, dtype=np.int64), _FILTER_BITS)
+        own: dict[str, list[np.ndarray]] = {}
+        size = np.diff(w.first)
+        for n in range(1, SHORT):
+            first = w.first[:-1][size == n]
+            for k, mask in _short_masks(n, window, agree) if len(first) else ():
+                own.setdefault(mask, []).append(first + k)
+        for mask, places in own.items():
+            at = np.concatenate(places)
+            self._add(mask, at, min(_FILTER_BITS, len(at).bit_length() + 6))
         self.item_of = item_of
 
+    def _add(self, mask: str, at: np.ndarray, bits: int) -> None:
+        """Index the seeds of a mask at these tokens."""
+        seed = _seeds(self.code, mask)
+        order = at[np.argsort(seed[at], kind="stable")]
+        maybe = np.zeros(1 << bits, dtype=bool)
+        maybe[(seed[order] >> U64(64 - bits)).astype(np.int64)] = True
+        self.masks.append((mask, seed[order], order, maybe, bits))
+
     def hits(self, w: Words) -> np.ndarray:
         """Distinct (document, item, first token of the item's place in w.code)."""
         doc_of = np.repeat(np.arange(len(w.first) - 1), np.diff(w.first))
         out = []
-        for mask, seeds, where, maybe in self.masks:
+        for mask, seeds, where, maybe, bits in self.masks:
             seed = _seeds(w.code, mask)
-            at = np.flatnonzero(maybe[(seed >> U64(64 - _FILTER_BITS)).astype(np.int64)])
+            at = np.flatnonzero(maybe[(seed >> U64(64 - bits)).astype(np.int64)])
             at = at[doc_of[at] == doc_of[at + len(mask) - 1]]
             lo, hi = (np.searchsorted(seeds, seed[at], side=side) for side in ("left", "right"))
             at, lo, n = at[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
