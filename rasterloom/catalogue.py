@@ -166,7 +166,7 @@ def queries() -> dict[str, Query]:
         "hist_match": _match,
         "rescale_trunc": lambda s, d: threshold.rescaled(_l(s, d), 20, 230),
         "rescale_round": lambda s, d: threshold.rescaled(_l(s, d), 20, 230, "even"),
-        "cmyk_marker": lambda s, d: _rgb(s, d).select("y", "x", F.round(colour.marker_ink(), 6).alias("v")),
+        "cmyk_marker": lambda s, d: stencil.median3(_rgb(s, d).select("y", "x", F.round(colour.marker_ink(), 6).alias("v")), SIZE, SIZE),
         "stain_unmix": lambda s, d: _rgb(s, d).select("y", "x", F.round(colour.stain(0), 6).alias("hematoxylin"), F.round(colour.stain(1), 6).alias("aec")),
         "level_geometry": lambda s, d: geometry.level_geometry(s.createDataFrame([(i, h, w) for i, _, h, w in LEVELS], "image string, h long, w long")),
         "level_match_strict": lambda s, d: geometry.match_levels_strict(_levels(s, "r"), _levels(s, "s")),

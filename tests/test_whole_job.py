@@ -59,3 +59,18 @@ def test_brightfield_cuts_the_9_by_9_entropy_by_otsu(spark):
     mask = entropy > centre[int(np.argmax(between))]
     inside, outside = np.median(image[mask]), np.median(image[~mask])
     assert [tuple(r) for r in QUERIES["brightfield_flag"](spark, DATA).collect()] == [(inside, outside, inside < outside)]
+
+
+def test_marker_ink_goes_through_the_median(spark):
+    rgb = {(r.channel, r.y, r.x): r.v for r in QUERIES["channel_merge"](spark, DATA).collect()}
+    ink = np.zeros((64, 64))
+    for y in range(64):
+        for x in range(64):
+            c, m, k2 = (1 - rgb[k, y, x] / 255 for k in range(3))
+            k = min(c, m, k2)
+            ink[y, x] = 0 if k >= 1 else (m - k) / (1 - k) + (k2 - k) / (1 - k)
+    ink = np.pad(ink, 1, mode="edge")
+    want = {(y, x): np.median(ink[y : y + 3, x : x + 3]) for y in range(64) for x in range(64)}
+    got = {(r.y, r.x): r.v for r in QUERIES["cmyk_marker"](spark, DATA).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
