@@ -37,15 +37,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder that the cluster shares.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares: spark.checkpoint.dir, else the context's own.
 
-    spark.checkpoint.dir is read from the session; a folder is made up only where none is set."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    Where neither is set, one is made up, but only on a local master: on a cluster a folder of
+    one machine would lose what is written with that machine."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if at is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that the cluster shares")
+        at = tempfile.mkdtemp(prefix="rasterloom-")
+        spark.sparkContext.setCheckpointDir(at)
+    return at.rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the folder that the cluster shares."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        at = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="rasterloom-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -69,8 +79,7 @@ def stored(df: DataFrame) -> DataFrame:
     the table are let go at once, so that disk holds one step's shuffles and not all steps'. The
     table itself is removed when Python ends."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rasterloom-tables-")
-    path = f"{base.rstrip('/')}/rasterloom-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/rasterloom-{uuid.uuid4().hex}"
     if not _written:
         atexit.register(_remove_written)
     _written.append((spark, path))

@@ -1,23 +1,28 @@
-"""Exact top-k search: BM25 over a sharded inverted index with block-max pruning.
+"""Exact top-k search: BM25 over a sharded inverted index with block-max WAND pruning.
 
-Documents are dealt in shards of about `shard_rows` by hash, so a shard's index fits a task at
-any size of the corpus. A shard's posting lists are cut in blocks by ranges of RANGE documents
-and each block keeps its largest impact. A query adds up, range by range, the block maxima of
-its terms; this is the pivot test of block-max WAND, done for all ranges at once. Ranges are
-opened from the largest bound downwards, their postings are scored exactly, and a range whose
-bound is under the k-th score found so far is skipped with everything in it. Only equal or
-smaller bounds are ever skipped, so the shard's top k is exact.
+Documents are dealt in shards of about `shard_bytes` of text by hash, so a shard's index fits a
+task at any size of the corpus. A shard's posting lists are cut in blocks by ranges of RANGE
+documents, and each list and each block keeps its largest impact. A query walks its lists from
+the largest upper bound down. The pivot is the first list from which on the bounds that are left
+sum to less than the k-th score so far: from there on no document that was not met before can
+still enter, and of what follows only those blocks are opened whose range has a document that the
+blocks' maxima can lift over that score. Everything else is skipped, within lists too. Only
+bounds under the k-th score are ever skipped, so the shard's top k is exact.
 
 Scores use statistics of the whole corpus - number of documents, mean length and document
-frequencies, which are counted in a distributed aggregate - so the shards' scores can be merged:
-the top k of all shards' top k are the top k. Ties go to the smaller id.
+frequencies, all of one distributed pass - so the shards' scores can be merged: the top k of all
+shards' top k are the top k. Ties go to the smaller id.
+
+A shard is a partition: its documents come first and are indexed as they come, then the queries
+stream past that index, so a task holds one shard and one batch of queries however many there are.
 
 BM25 with k1 = 1.2 and b = 0.75, idf = ln(1 + (N - df + 0.5) / (df + 0.5)), summed over the
 distinct words of the query. Words are runs without blanks, ASCII letters lower-cased.
 
-Defined results: a query without words finds nothing; null and empty documents count as
-documents of length 0 and are never found; rows with a null id are left out; repeated rows count
-as often as they stand there, and are found as often; other columns are ignored."""
+Defined results: a query without words finds nothing; rows that share a query id are one query
+of all their words; null and empty documents count as documents of length 0 and are never found;
+rows with a null id are left out; repeated documents count as often as they stand there, and are
+found as often; without documents or queries there are no rows; other columns are ignored."""
 
 from __future__ import annotations
 
@@ -28,11 +33,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, signed, spans, text_slices
+from .common import Words, signed, spans, stored, text_slices
 
 K1, B = 1.2, 0.75
+#: Documents of one block's range.
 RANGE = 16
+#: Lists that hold one document in so many are kept as a row over all documents as well.
+_OFTEN = 8
 _BITS = 1 << 23
+#: Scores are compared after rounding; what is less than this under a score may equal it.
+_NEAR = 1e-7
 
 
 def _terms(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -55,7 +65,7 @@ def _query_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _counts(wanted: np.ndarray):
-    """Document frequencies of wanted terms, a row for each slice of text, and totals as term null."""
+    """Document frequencies of wanted terms, and documents, words and bytes as term null, for each slice of text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -64,137 +74,182 @@ def _counts(wanted: np.ndarray):
                 _, term, _ = _terms(w)
                 bit = term & (_BITS - 1)
                 term, df = np.unique(term[(wanted[bit >> 6] >> (bit & 63)) & 1 == 1], return_counts=True)
+                none = np.zeros(len(df), dtype=np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([None, *term.tolist()], pa.int64()), pa.array([len(offsets) - 1, *df.tolist()], pa.int64()), pa.array([len(w.code)] + [0] * len(df), pa.int64())],
-                    names=["term", "df", "words"],
+                    [pa.array(np.append(term, 0), mask=np.append(none, 1) == 1), pa.array(np.append(df, len(offsets) - 1)), pa.array(np.append(none, len(w.code))), pa.array(np.append(none, len(buf)))],
+                    names=["term", "df", "words", "bytes"],
                 )
 
     return run
 
 
 class Shard:
-    """The inverted index of some documents."""
+    """The inverted index of some documents, added in parts; N documents in all corpora."""
+
+    def __init__(self, total: int, mean: float):
+        self.total, self.mean = total, mean
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.size = 0
+        self.ready = False
 
-    def __init__(self, ids: np.ndarray, text: pa.Array, mean: float):
-        docs, terms, freqs, sizes = [], [], [], []
+    def add(self, ids: np.ndarray, text: pa.Array) -> None:
         for at, to, buf, offsets in text_slices(text, 4 << 20):
             w = Words(buf, offsets, lower=True)
             doc, term, freq = _terms(w)
-            docs.append((doc + at).astype(np.int32))
-            terms.append(term)
-            freqs.append(freq.astype(np.int32))
-            sizes.append(np.diff(w.first))
-        self.ids = ids
-        norm = K1 * (1 - B + B * np.concatenate(sizes) / mean)
-        term = np.concatenate(terms)
-        terms.clear()
+            size = np.diff(w.first)
+            norm = K1 * (1 - B + B * size / self.mean)
+            self.parts.append((ids[at:to], (doc + self.size).astype(np.int32), term, freq * (K1 + 1) / (freq + norm[doc])))
+            self.size += to - at
+
+    def finish(self) -> None:
+        def joined(k: int, kind) -> np.ndarray:
+            return np.concatenate([p[k] for p in self.parts]) if self.parts else np.zeros(0, dtype=kind)
+
+        self.ready = True
+        self.ids = joined(0, np.int64)
+        term = joined(2, np.int64)
         order = np.argsort(term, kind="stable").astype(np.int32)  # documents stay in order within a term
         term = term[order]
-        self.doc = np.concatenate(docs)[order]
-        docs.clear()
-        tf = np.concatenate(freqs)[order]
-        freqs.clear()
+        self.doc = joined(1, np.int32)[order]
+        self.impact = joined(3, np.float64)[order]
+        self.parts.clear()
         del order
-        self.impact = norm[self.doc]
-        self.impact += tf
-        np.divide(tf * (K1 + 1), self.impact, out=self.impact)
-        del tf
         part = self.doc // RANGE
-        new = np.ones(len(term), dtype=bool)
-        new[1:] = (term[1:] != term[:-1]) | (part[1:] != part[:-1])
-        self.begin = np.flatnonzero(new)  # blocks
+        head = np.ones(len(term), dtype=bool)
+        head[1:] = term[1:] != term[:-1]
+        self.begin = np.flatnonzero(head)  # lists
+        self.term = term[self.begin]
         self.length = np.diff(np.append(self.begin, len(term)))
-        self.range = part[self.begin]
-        self.most = np.maximum.reduceat(self.impact, self.begin) if len(term) else np.zeros(0)
-        of_block = term[self.begin]
-        head = np.ones(len(of_block), dtype=bool)
-        head[1:] = of_block[1:] != of_block[:-1]
-        self.first = np.flatnonzero(head)
-        self.term = of_block[self.first]
-        self.blocks = np.diff(np.append(self.first, len(of_block)))
-        self.ranges = -(-len(ids) // RANGE)
-
-    def search(self, terms: np.ndarray, idf: np.ndarray, k: int) -> list[tuple[int, float]]:
-        """The k best (id, score), ties to the smaller id."""
+        del term
+        head[1:] |= part[1:] != part[:-1]
+        self.block = np.flatnonzero(head)  # blocks
+        self.block_length = np.diff(np.append(self.block, len(head)))
+        self.range = part[self.block]
+        self.block_most = np.maximum.reduceat(self.impact, self.block) if len(part) else np.zeros(0)
+        self.first_block = np.searchsorted(self.block, self.begin)
+        self.blocks = np.diff(np.append(self.first_block, len(self.block)))
+        self.most = np.maximum.reduceat(self.impact, self.begin) if len(part) else np.zeros(0)
+        self.ranges = -(-max(1, self.size) // RANGE)
+        #: Long lists as rows over all documents, which add up without looking documents up.
+        self.rows: dict[int, np.ndarray] = {}
+        for k in np.flatnonzero(self.length * _OFTEN >= max(1024, self.size)).tolist():
+            row = np.zeros(self.size)
+            at = slice(self.begin[k], self.begin[k] + self.length[k])
+            row[self.doc[at]] = self.impact[at]
+            self.rows[k] = row
+
+    def _add_lists(self, score: np.ndarray, lists: np.ndarray, idf: np.ndarray) -> None:
+        short = self.length[lists] < 256
+        some, weight = lists[short], idf[short]
+        n = self.length[some]
+        posting = spans(self.begin[some], n)
+        if len(posting):
+            score += np.bincount(self.doc[posting], weights=self.impact[posting] * np.repeat(weight, n), minlength=self.size)
+        for k, w in zip(lists[~short].tolist(), idf[~short].tolist()):
+            row = self.rows.get(k)
+            if row is not None:
+                score += row * w
+            else:
+                at = slice(self.begin[k], self.begin[k] + self.length[k])
+                score[self.doc[at]] += self.impact[at] * w
+
+    def _add_open_blocks(self, score: np.ndarray, live: np.ndarray, lists: np.ndarray, idf: np.ndarray, least: float) -> np.ndarray:
+        """Add the lists' blocks of ranges where a live document can reach `least`; the live ones left."""
+        n = self.blocks[lists]
+        block = spans(self.first_block[lists], n)
+        weight = np.repeat(idf, n)
+        best = np.zeros(self.ranges)
+        np.maximum.at(best, live // RANGE, score[live])
+        bound = np.bincount(self.range[block], weights=weight * self.block_most[block], minlength=self.ranges)
+        open_ = (best > 0) & (best + bound >= least)
+        mine = open_[self.range[block]]
+        block, weight = block[mine], weight[mine]
+        n = self.block_length[block]
+        posting = spans(self.block[block], n)
+        if len(posting):
+            score += np.bincount(self.doc[posting], weights=self.impact[posting] * np.repeat(weight, n), minlength=self.size)
+        return live[open_[live // RANGE]]
+
+    def search(self, terms: np.ndarray, df: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, scores) of the k best, ties to the smaller id."""
+        nothing = np.zeros(0, dtype=np.int64), np.zeros(0)
         if not len(self.term):
-            return []
+            return nothing
         at = np.minimum(np.searchsorted(self.term, terms), len(self.term) - 1)
         here = self.term[at] == terms
-        at, idf = at[here], idf[here]
-        block = spans(self.first[at], self.blocks[at])
-        weight = np.repeat(idf, self.blocks[at])
-        where = self.range[block]
-        bound = np.bincount(where, weights=weight * self.most[block], minlength=self.ranges)
+        at, df = at[here], df[here]
+        idf = np.log1p((self.total - df + 0.5) / (df + 0.5))
+        bound = idf * self.most[at]
         order = np.argsort(-bound, kind="stable")
-        order = order[: int((bound > 0).sum())]
-        best_id, best = np.zeros(0, dtype=np.int64), np.zeros(0)
-        done, step = 0, 4
-        open_ = np.zeros(self.ranges, dtype=bool)
-        while done < len(order):
-            limit = best[-1] if len(best) == k else -1.0
-            todo = order[done : done + step]
-            todo = todo[bound[todo] * (1 + 1e-9) >= limit]
-            if not len(todo):
-                break
-            open_[todo] = True
-            mine = open_[where]
-            open_[todo] = False
-            b, w = block[mine], weight[mine]
-            n = self.length[b]
-            posting = spans(self.begin[b], n)
-            doc = self.doc[posting]
-            slot = np.zeros(self.ranges, dtype=np.int64)
-            slot[todo] = np.arange(len(todo))
-            score = np.bincount(slot[doc // RANGE] * RANGE + doc % RANGE, weights=self.impact[posting] * np.repeat(w, n), minlength=len(todo) * RANGE)
-            some = np.flatnonzero(score > 0)
-            found = self.ids[todo[some // RANGE] * RANGE + some % RANGE]
-            best_id, best = np.concatenate([best_id, found]), np.concatenate([best, np.round(score[some], 9)])
-            keep = np.lexsort((best_id, -best))[:k]
-            best_id, best = best_id[keep], best[keep]
-            done += step
-            step *= 4
-        return list(zip(best_id.tolist(), best.tolist()))
-
-
-def _search(k: int, mean: float):
-    def run(docs: pa.Table, queries: pa.Table) -> pa.Table:
-        out: list[list] = [[], [], []]
-        if docs.num_rows and queries.num_rows:
-            docs = docs.sort_by("doc_id").combine_chunks()
-            text = docs.column("text").combine_chunks()
-            shard = Shard(docs.column("doc_id").to_numpy(), text if isinstance(text, pa.Array) else text.chunk(0), mean)
-            del docs, text
-            pa.default_memory_pool().release_unused()
-            for b in queries.to_batches():
-                for i in range(b.num_rows):
-                    q = b.column("query_id")[i].as_py()
-                    terms, idf = (b.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("terms", "idf"))
-                    for doc, score in shard.search(terms, idf, k):
-                        for column, value in zip(out, (q, doc, score)):
-                            column.append(value)
-        return pa.table({"query_id": pa.array(out[0], pa.int64()), "doc_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
+        at, idf, bound = at[order], idf[order], bound[order]
+        left = np.append(np.cumsum(bound[::-1])[::-1], 0.0)  # of the lists from here on
+        work = np.cumsum(self.length[at])
+        score = np.zeros(self.size)
+        done, step, least = 0, 4096, 0.0
+        while done < len(at):
+            if left[done] < least:  # the pivot: no new document can enter
+                live = np.flatnonzero(score + left[done] >= least)
+                if len(live) * RANGE <= self.size:
+                    live = self._add_open_blocks(score, live, at[done:], idf[done:], least)
+                    return self._best(score, live, k)
+            to = max(done + 1, int(np.searchsorted(work, (work[done - 1] if done else 0) + step, side="right")))
+            if left[done] >= least:  # stop at the pivot
+                to = min(to, max(done + 1, int(np.searchsorted(-left, -least, side="right"))))
+            self._add_lists(score, at[done:to], idf[done:to])
+            done, step = to, step * 4
+            if self.size > k:
+                least = max(least, float(np.partition(score, self.size - k)[self.size - k]) - _NEAR)
+        return self._best(score, np.flatnonzero((score > 0) & (score >= least)), k)
+
+    def _best(self, score: np.ndarray, live: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(live) > 4 * k:
+            live = live[score[live] >= np.partition(score[live], len(live) - k)[len(live) - k] - _NEAR]
+        ids, value = self.ids[live], np.round(score[live], 9)
+        keep = np.lexsort((ids, -value))[:k]
+        return ids[keep], value[keep]
+
+
+def _search(k: int, total: int, mean: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = Shard(total, mean)
+        for b in batches:  # a partition is a shard: kind 0 its documents, then kind 1 the queries
+            kind = b.column(1).to_numpy()
+            split = int(np.searchsorted(kind, 1))
+            if split:
+                shard.add(b.column(2)[:split].to_numpy(), b.column(3)[:split])
+            if split == len(kind):
+                continue
+            if not shard.ready:
+                shard.finish()
+            out: list[list[np.ndarray]] = [[], [], []]
+            for i in range(split, len(kind)):
+                ids, scores = shard.search(*(b.column(c)[i].values.to_numpy(zero_copy_only=False) for c in (4, 5)), k)
+                for column, value in zip(out, (np.full(len(ids), b.column(2)[i].as_py()), ids, scores)):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["query_id", "doc_id", "score"])
 
     return run
 
 
-def search(docs: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int = 16384) -> DataFrame:
-    """(query_id, doc_id, rank, score): the k best documents for each row (query_id, text)."""
+def search(docs: DataFrame, queries: DataFrame, k: int = 10, shard_bytes: int = 32 << 20) -> DataFrame:
+    """(query_id, doc_id, rank, score): the k best documents for each query (query_id, text)."""
     texts = docs.filter("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    asked = queries.filter("query_id is not null and text is not null").select("query_id", "text").groupBy("query_id").agg(F.max("text").alias("text"))
+    asked = queries.filter("query_id is not null and text is not null").select("query_id", "text")
     terms = asked.mapInArrow(_query_terms, "query_id long, term long").distinct()
     bits = terms.select((F.col("term").bitwiseAND(_BITS - 1)).alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(bit & 63))")).alias("bits"))
     wanted = np.zeros(_BITS // 64, dtype=np.int64)
     for word, value in bits.collect():  # at most _BITS / 64 rows, whatever the queries
         wanted[word] = value
-    counts = texts.select("text").mapInArrow(_counts(wanted), "term long, df long, words long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("words").alias("words"))
-    totals = texts.agg(F.count(F.lit(1))).first()[0]
-    words = texts.select("text").mapInArrow(_counts(np.zeros_like(wanted)), "term long, df long, words long").agg(F.sum("words")).first()[0] or 0
-    mean = max(1e-9, words / max(1, totals))
-    idf = F.log1p((F.lit(float(totals)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = terms.join(counts.filter("term is not null").select("term", idf.alias("idf")), "term").groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("term", "idf"))).alias("t"))
-    shards = max(1, -(-totals // shard_rows))
-    every = weighted.select("query_id", F.col("t.term").alias("terms"), F.col("t.idf").alias("idf"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    dealt = texts.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int"))
-    found = dealt.groupBy("shard").cogroup(every.groupBy("shard")).applyInArrow(_search(k, mean), "query_id long, doc_id long, score double")
+    counts = texts.select("text").mapInArrow(_counts(wanted), "term long, df long, words long, bytes long")
+    counts = stored(counts.groupBy("term").agg(*[F.sum(c).alias(c) for c in ("df", "words", "bytes")]))
+    totals = counts.filter("term is null").first()
+    total, words, size = (totals.df, totals.words, totals.bytes) if totals else (0, 0, 0)
+    shards = max(1, -(-size // shard_bytes))
+    weighted = terms.join(counts.filter("term is not null").select("term", "df"), "term").groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("term", "df"))).alias("t"))
+    every = weighted.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), F.col("query_id").alias("id"), F.lit(None).cast("string").alias("text"), F.col("t.term").alias("terms"), F.col("t.df").alias("df"))
+    none = F.lit(None).cast("array<long>")
+    dealt = texts.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), F.col("doc_id").alias("id"), "text", none.alias("terms"), none.alias("df"))
+    streams = dealt.unionByName(every).repartitionById(shards, F.col("shard")).sortWithinPartitions("kind")
+    found = streams.mapInArrow(_search(k, total, max(1e-9, words / max(1, total))), "query_id long, doc_id long, score double")
     rank = F.expr("row_number() over (partition by query_id order by score desc, doc_id)")
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "doc_id", F.col("rank").cast("int").alias("rank"), "score")
