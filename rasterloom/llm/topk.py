@@ -69,7 +69,7 @@ def _counts(wanted: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, _, buf, offsets in text_slices(b.column(0), 4 << 20):
+            for _, _, buf, offsets in text_slices(b.column(0), 2 << 20):
                 w = Words(buf, offsets, lower=True)
                 _, term, _ = _terms(w)
                 bit = term & (_BITS - 1)
@@ -88,22 +88,25 @@ class Shard:
 
     def __init__(self, total: int, mean: float):
         self.total, self.mean = total, mean
-        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.parts: tuple[list[np.ndarray], ...] = ([], [], [], [])
         self.size = 0
         self.ready = False
 
     def add(self, ids: np.ndarray, text: pa.Array) -> None:
-        for at, to, buf, offsets in text_slices(text, 4 << 20):
+        for at, to, buf, offsets in text_slices(text):
             w = Words(buf, offsets, lower=True)
             doc, term, freq = _terms(w)
             size = np.diff(w.first)
             norm = K1 * (1 - B + B * size / self.mean)
-            self.parts.append((ids[at:to], (doc + self.size).astype(np.int32), term, freq * (K1 + 1) / (freq + norm[doc])))
+            for part, column in zip(self.parts, (ids[at:to], (doc + self.size).astype(np.int32), term, freq * (K1 + 1) / (freq + norm[doc]))):
+                part.append(column)
             self.size += to - at
 
     def finish(self) -> None:
         def joined(k: int, kind) -> np.ndarray:
-            return np.concatenate([p[k] for p in self.parts]) if self.parts else np.zeros(0, dtype=kind)
+            out = np.concatenate(self.parts[k]) if self.parts[k] else np.zeros(0, dtype=kind)
+            self.parts[k].clear()
+            return out
 
         self.ready = True
         self.ids = joined(0, np.int64)
@@ -112,7 +115,6 @@ class Shard:
         term = term[order]
         self.doc = joined(1, np.int32)[order]
         self.impact = joined(3, np.float64)[order]
-        self.parts.clear()
         del order
         part = self.doc // RANGE
         head = np.ones(len(term), dtype=bool)
