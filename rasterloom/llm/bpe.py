@@ -17,6 +17,7 @@ empty text; repeated rows give repeated results; other columns are ignored."""
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
 import unicodedata
@@ -31,7 +32,10 @@ from pyspark.sql import functions as F
 
 #: Words, and fragments, in one table.
 _MOST_REMEMBERED = 200_000
+_LONGEST_REMEMBERED = 256
 _NO_MERGE = 1 << 60
+#: Fragments of more letters are merged by a heap, whose work grows with n log n.
+_LONG = 48
 
 
 def byte_letters() -> list[str]:
@@ -94,6 +98,8 @@ class ForcedBoundaryBpe:
 
     def _merge(self, ids: list[int]) -> list[int]:
         """The ids of a fragment after all merges: the earliest in the file first, from the left."""
+        if len(ids) > _LONG:
+            return self._merge_long(ids)
         get, never = self.merges.get, (_NO_MERGE, 0)
         ranks = [get(x << 32 | y, never) for x, y in zip(ids, ids[1:])]
         while ranks:
@@ -109,6 +115,31 @@ class ForcedBoundaryBpe:
                 ranks[i] = get(ids[i] << 32 | ids[i + 1], never)
         return ids
 
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        """The same for a long fragment: pairs wait in a heap by rank and place, places are linked."""
+        get, gone = self.merges.get, -1
+        after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
+        heap = []
+        for i in range(len(ids) - 1):
+            if found := get(ids[i] << 32 | ids[i + 1]):
+                heap.append((found[0], i, found[1], ids[i], ids[i + 1]))
+        heapq.heapify(heap)
+        while heap:
+            _, i, merged, left, right = heapq.heappop(heap)
+            j = after[i]
+            if ids[i] != left or j >= len(ids) or ids[j] != right:
+                continue  # one of the two has been merged since
+            ids[i], ids[j] = merged, gone
+            after[i] = k = after[j]
+            if k < len(ids):
+                before[k] = i
+                if found := get(merged << 32 | ids[k]):
+                    heapq.heappush(heap, (found[0], i, found[1], merged, ids[k]))
+            h = before[i]
+            if h >= 0 and (found := get(ids[h] << 32 | merged)):
+                heapq.heappush(heap, (found[0], h, found[1], ids[h], merged))
+        return [x for x in ids if x != gone]
+
     def _fragment(self, letters: str, last: bool) -> tuple[int, ...]:
         ids = self.fragments.get((letters, last))
         if ids is None:
@@ -117,7 +148,8 @@ class ForcedBoundaryBpe:
             ids = tuple(self._merge([self.vocab[x] for x in parts if x in self.vocab]))
             if len(self.fragments) >= _MOST_REMEMBERED:
                 self.fragments.clear()
-            self.fragments[letters, last] = ids
+            if len(letters) <= _LONGEST_REMEMBERED:
+                self.fragments[letters, last] = ids
         return ids
 
     def encode_word(self, word: str) -> tuple[int, ...]:
@@ -146,7 +178,8 @@ class ForcedBoundaryBpe:
                 if len(self.words) >= _MOST_REMEMBERED:
                     self.older, self.words = self.words, {}
                     get = self.words.get
-                self.words[word] = known
+                if len(word) <= _LONGEST_REMEMBERED:
+                    self.words[word] = known
             out.append(known)
 
     def encode_bytes(self, text: str) -> bytes:

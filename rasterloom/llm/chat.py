@@ -14,9 +14,10 @@ pieces of a conversation. What a `generation` block writes is under the loss mas
 turns line ends, so that a role stays on its line.
 
 Defined results: rows of a conversation are taken by turn, rows of one turn by role and text;
-null role and text are empty; rows with a null conv_id are one conversation of their own; an
-empty table gives no rows; other columns are ignored. A conversation is formatted as a whole, as
-a training example is; tasks hold one conversation at a time."""
+null role and text are empty; each row with a null conv_id is a conversation of its own; an
+empty table gives no rows; other columns are ignored; a template that cannot be read back is
+refused before anything runs. A conversation is formatted as a whole, as a training example is;
+tasks hold one conversation at a time."""
 
 from __future__ import annotations
 
@@ -36,7 +37,6 @@ _TO_ESCAPE = re.compile("|".join(map(re.escape, ("\\", *sorted(CONTROLS, key=len
 _ESCAPED = re.compile(r"\\(\d+);")
 _CODES = {c: f"\\{k};" for k, c in enumerate(("\\", *CONTROLS))}
 _PLAIN = ("\\", *CONTROLS, "\n")
-_ROLE_END = "\n"
 
 
 def escape(text: str) -> str:
@@ -345,18 +345,104 @@ def compile_template(template: str) -> Callable[[list[tuple[str, str]]], tuple[s
     return render
 
 
-def read_back(formatted: str) -> list[tuple[str, str]]:
-    """The turns of a text that TEMPLATE formatted."""
-    out = []
-    for part in formatted.split("<|turn|>")[1:]:
-        head, _, body = part.partition(_ROLE_END)
-        out.append((unescape(head), unescape(body[: body.rindex("<|end|>")])))
-    return out
+_FIELD_FILTERS = ("escape", "escape_line")
+Path = tuple[list[tuple], str | None]
+
+
+def _paths(node, name: str) -> list[Path]:
+    """The ways through a loop's body: pieces ("text", t) or ("field", field, filter), and the role that a way is for."""
+    kind = node[0]
+    if kind == "text":
+        return [([node], None)]
+    if kind == "generation":
+        return _paths(node[1], name)
+    if kind == "put":
+        value = node[1]
+        if value[0] == "filter" and value[1] in _FIELD_FILTERS and value[2][:2] == ("field", name):
+            return [([("field", value[2][2], value[1])], None)]
+        raise TemplateError("only escaped fields of a message can be read back")
+    if kind == "if":
+        out: list[Path] = []
+        for condition, body in node[1]:
+            own = condition[2][1] if condition[0] == "==" and condition[1] == ("field", name, "role") and condition[2][0] == "constant" else None
+            out += [(pieces, own if role is None else role) for pieces, role in _paths(body, name)]
+        return out if node[1][-1][0] == ("constant", True) else [*out, ([], None)]
+    if kind != "block":
+        raise TemplateError(f"{kind} inside the loop over messages cannot be read back")
+    ways: list[Path] = [([], None)]
+    for child in node[1]:
+        ways = [(pieces + more, role if own is None else own) for pieces, role in ways for more, own in _paths(child, name)]
+    return ways
+
+
+def _way_pattern(pieces: list[tuple], role: str | None) -> re.Pattern:
+    """Of one way, the expression that reads its fields back."""
+    joined = fold(("block", pieces))[1] if pieces else []
+    out, seen = "", set()
+    for piece, after in zip(joined, [*joined[1:], None]):
+        if piece[0] == "text":
+            out += re.escape(piece[1])
+        elif piece[1] in seen:
+            out += f"(?P={piece[1]})"
+        else:
+            ends = after is not None and after[0] == "text" and after[1].startswith(CONTROLS if piece[2] == "escape" else (*CONTROLS, "\n"))
+            if not ends:
+                raise TemplateError(f"nothing ends the {piece[1]} of a message")
+            seen.add(piece[1])
+            out += f"(?P<{piece[1]}>.*?)"
+    if "text" not in seen or ("role" not in seen and role is None):
+        raise TemplateError("a message's role or text cannot be read back")
+    return re.compile(out, re.S)
+
+
+def compile_reader(template: str) -> Callable[[str], list[tuple[str, str]]]:
+    """The function from what a template has formatted back to the messages (role, text).
+
+    A template can be read back if it is one loop over the messages between constant texts, and if
+    each way through the loop shows the role, or is for one role, and shows the text, both escaped and
+    followed by a control string (an escaped line: or by a line end). Otherwise TemplateError."""
+    nodes = fold(parse(template))[1]
+    loops = [k for k, n in enumerate(nodes) if n[0] == "for"]
+    if len(loops) != 1 or any(n[0] not in ("text", "for") for n in nodes) or nodes[loops[0]][2] != "messages":
+        raise TemplateError("a template is read back by its one loop over the messages")
+    _, name, _, body = nodes[loops[0]]
+    head, tail = ("".join(n[1] for n in part) for part in (nodes[: loops[0]], nodes[loops[0] + 1 :]))
+    ways = [(_way_pattern(pieces, role), role) for pieces, role in _paths(body, name)]
+    one = _writer(body)
+
+    def again(message: tuple[str, str]) -> str:
+        pieces: list[str] = []
+        one({name: message}, lambda text, loss: pieces.append(text), False)
+        return "".join(pieces)
+
+    def read(formatted: str) -> list[tuple[str, str]]:
+        out, at, end = [], len(head), len(formatted) - len(tail)
+        while at < end:
+            for pattern, role in ways:
+                m = pattern.match(formatted, at, end)
+                if m is None:
+                    continue
+                found = m.groupdict()
+                message = (unescape(found["role"]) if "role" in found else role, unescape(found["text"]))
+                if m.end() > at and again(message) == m[0]:
+                    break
+            else:
+                raise ValueError("not a text of this template")
+            out.append(message)
+            at = m.end()
+        return out
+
+    return read
+
+
+def read_back(formatted: str, template: str = TEMPLATE) -> list[tuple[str, str]]:
+    """The turns of a text that the template formatted."""
+    return compile_reader(template)(formatted)
 
 
 def _format(template: str, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        render = compile_template(template)
+        render, read = compile_template(template), compile_reader(template)
         names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"] + ["formatted", "loss_spans"] * with_text
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()] + [pa.string(), pa.list_(pa.list_(pa.int64()))] * with_text
         done: list[list] = [[] for _ in names]
@@ -364,7 +450,7 @@ def _format(template: str, with_text: bool):
 
         def finish() -> None:
             text, masked = render(turns)
-            back = read_back(text)
+            back = read(text)
             loss = "".join(unescape(text[a:b]) for a, b in masked)
             said = "".join(f"{role}\n{said}\n" for role, said in back)
             row = [now, len(back), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text)]
@@ -373,7 +459,7 @@ def _format(template: str, with_text: bool):
 
         for b in batches:
             for conv, role, text in zip(*(b.column(i).to_pylist() for i in range(3))):
-                if turns and conv != now:
+                if turns and (conv != now or conv is None):
                     finish()
                     turns = []
                 now = conv
@@ -391,7 +477,8 @@ def _format(template: str, with_text: bool):
 
 def format_conversations(conversations: DataFrame, template: str = TEMPLATE, with_text: bool = False) -> DataFrame:
     """One row per conversation, read back from the formatted text."""
-    compile_template(template)  # a wrong template fails here
-    rows = conversations.select("conv_id", "role", "text", "turn").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
+    compile_template(template), compile_reader(template)  # a wrong template fails here
+    spread = F.when(F.col("conv_id").isNull(), F.xxhash64("role", "text", "turn"))
+    rows = conversations.select("conv_id", "role", "text", "turn").repartition("conv_id", spread).sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
     kind = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     return rows.mapInArrow(_format(template, with_text), kind + ", formatted string, loss_spans array<array<long>>" * with_text)

@@ -72,22 +72,26 @@ def _remove_written() -> None:
             pass
 
 
+def written(df: DataFrame, path: str) -> DataFrame:
+    """The same rows, written to a Parquet table and read again; the table is removed when Python ends."""
+    if not _written:
+        atexit.register(_remove_written)
+    _written.append((df.sparkSession, path))
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The same rows from a Parquet table in the folder that the cluster shares.
 
     Cuts the lineage like checkpointed(), in compressed columns. The shuffle files that led to
-    the table are let go at once, so that disk holds one step's shuffles and not all steps'. The
-    table itself is removed when Python ends."""
+    the table are let go at once, so that disk holds one step's shuffles and not all steps'."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/rasterloom-{uuid.uuid4().hex}"
-    if not _written:
-        atexit.register(_remove_written)
-    _written.append((spark, path))
-    df.write.parquet(path)
+    out = written(df, f"{shared_folder(spark)}/rasterloom-{uuid.uuid4().hex}")
     del df
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.parquet(path)
+    return out
 
 
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:

@@ -134,9 +134,21 @@ class _Index:
         return {k: (fit, lo - int(w.first[k[0]])) for k, (fit, lo) in best.items()}
 
 
+_built: dict[tuple, _Index] = {}
+
+
+def _index(items: list[tuple[int, str]], window: int, agree: int) -> _Index:
+    """The index of a block, kept while a worker's tasks ask for the same one."""
+    key = (hash(tuple(items)), len(items), window, agree)
+    if key not in _built:
+        _built.clear()
+        _built[key] = _Index(items, window, agree)
+    return _built[key]
+
+
 def _search(items: list[tuple[int, str]], window: int, agree: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = _Index(items, window, agree)
+        index = _index(items, window, agree)
         for b in batches:
             for at, to, buf, offsets in text_slices(b.column(1)):
                 found = index.found(Words(buf, offsets, lower=True, blanks=PUNCTUATED))
@@ -150,25 +162,47 @@ def _search(items: list[tuple[int, str]], window: int, agree: int):
     return run
 
 
+def _free(items: list[tuple[int, str]], window: int, agree: int, text: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = _index(items, window, agree)
+        for b in batches:
+            for at, to, buf, offsets in text_slices(b.column(text).fill_null("")):
+                found = index.found(Words(buf, offsets, lower=True, blanks=PUNCTUATED))
+                keep = np.ones(to - at, dtype=bool)
+                keep[[d for d, _ in found]] = False
+                yield b.slice(at, to - at).filter(pa.array(keep))
+
+    return run
+
+
+def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
+    """The items in blocks of about half of `block_bytes` of text; the size is checked first."""
+    items = benchmark.select("item_id", "text").filter("text is not null and text <> ''")
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    blocks = -(-2 * size // block_bytes) if size > block_bytes else 1
+    for k in range(blocks):
+        block = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
+        yield [(r[0], r[1]) for r in block.collect()]  # at most a block
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 12, agree: int = 10, block_bytes: int = 8 << 20) -> DataFrame:
     """(doc_id, item_id, agreeing, start): each item that a document holds.
 
     agreeing counts the equal tokens of the best window, start is the token of the document
     where the item begins."""
-    items = benchmark.select("item_id", "text").filter("text is not null and text <> ''")
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.coalesce(F.max(F.octet_length("text")), F.lit(0))).first()
-    blocks = max(1, -(-2 * size[0] // block_bytes)) if size[0] > block_bytes else 1
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     out = None
-    for k in range(blocks):
-        block = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        rows = [(r[0], r[1]) for r in block.collect()]  # at most a block: the size is checked above
+    for rows in _blocks(benchmark, block_bytes):
         part = texts.mapInArrow(_search(rows, window, agree), "doc_id long, item_id long, agreeing long, start long")
         out = part if out is None else out.union(part)
     return out
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 12, agree: int = 10) -> DataFrame:
-    """The documents that hold no item of the benchmark, with all their columns."""
-    gone = contaminated(docs, benchmark, window, agree).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 12, agree: int = 10, block_bytes: int = 8 << 20) -> DataFrame:
+    """The rows whose own text holds no item of the benchmark, with all their columns.
+
+    Each row is judged by its text, whatever its id: rows with a null id are judged too, and a
+    row that shares its id with a contaminated one stays if its own text is free."""
+    for rows in _blocks(benchmark, block_bytes):
+        docs = docs.mapInArrow(_free(rows, window, agree, docs.columns.index("text")), docs.schema)
+    return docs

@@ -294,6 +294,8 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80) -> DataF
 
 
 def keep_one_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The documents of which no smaller id is in the same component, with all their columns."""
+    """The documents of which no smaller id is in the same component, with all their columns.
+
+    Rows that share an id are one node and stay or go together; rows with a null id stay."""
     gone = near_duplicates(docs, words, percent).filter("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

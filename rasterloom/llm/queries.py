@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, langid, line_dedup, minhash, quality, substring_dedup, topk, toxicity
+from . import bpe, chat, decontaminate, langid, line_dedup, minhash, pipeline, quality, substring_dedup, topk, toxicity
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -60,13 +59,13 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (op1_line_dedup, op2_substring_dedup, op3_toxicity, op4_bpe, op5_quality, op6_minhash, op7_chat, op8_decontaminate, op9_topk, op10_langid)
-    return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in own} | {"pipeline": pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
     from . import oracles
 
     sql = dict(oracles.ORACLES)
-    if corpus_pipeline.ORACLE_SQL:
-        sql["pipeline"] = corpus_pipeline.ORACLE_SQL
+    if pipeline.ORACLE_SQL:
+        sql["pipeline"] = pipeline.ORACLE_SQL
     return sql
