@@ -1,65 +1,5 @@
-"""The training-text pipeline: toxicity, line dedup, near-dedup, decontamination, tokenization.
+"""The training-text pipeline of the optional text subpackage: its stages, its job and its SQL."""
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame that the next one reads back from
-Parquet as its docs; all but the last return the columns of documents."""
+from rasterloom.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-import os
-import tempfile
-import uuid
-from collections.abc import Callable
-
-import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
-
-from rasterloom.llm import bpe, decontaminate, line_dedup, minhash, toxicity
-from rasterloom.llm.common import table
-
-Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-
-
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"), source=table(spark, sf_dir, "documents"))
-
-
-def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return line_dedup.remove_duplicate_lines(docs, fuzzy_words=8)
-
-
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return minhash.keep_one_each(docs, words=5, percent=80)
-
-
-def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
-
-
-def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=True)
-
-
-STAGES: list[tuple[str, Stage]] = [
-    ("toxicity", drop_toxic),
-    ("line_dedup", drop_lines),
-    ("near_dedup", drop_near_duplicates),
-    ("decontaminate", drop_contaminated),
-    ("bpe", tokenize),
-]
-
-#: Fitted models and byte-pair merges are beyond SQL; the stages are tested against brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what each returns is written and read again."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rasterloom-pipeline-")
-    folder = f"{base.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if k + 1 == len(STAGES):
-            return out
-        path = os.path.join(folder, f"{k}_{name}")
-        out.write.parquet(path)
-        docs = spark.read.parquet(path)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
