@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .catalogues import metadata as metadata_catalogue
 from .functions import affine, colour, geometry
 from .operators import align, matching, objects, resample, stencil, threshold
 from .plans import displacement
@@ -140,7 +141,25 @@ def _channels(spark: SparkSession, d: str) -> DataFrame:
     return _l(spark, d).withColumn("channel", F.lit(0)).unionByName(_rgb(spark, d).select("y", "x", F.col("g").alias("v"), F.lit(1).alias("channel")))
 
 
+#: Further queries by subject, each with queries() and oracle_sql().
+SUBJECTS = (metadata_catalogue,)
+
+
 def queries() -> dict[str, Query]:
+    out = _raster_queries()
+    for subject in SUBJECTS:
+        out |= subject.queries()
+    return out
+
+
+def oracle_sql() -> dict[str, str]:
+    out = _raster_sql()
+    for subject in SUBJECTS:
+        out |= subject.oracle_sql()
+    return out
+
+
+def _raster_queries() -> dict[str, Query]:
     return {
         "block_matrices": lambda s, d: affine.block_matrices(_grid_shifts(s, d), BACK),
         "full_scale_matrices": lambda s, d: affine.full_scale(s.createDataFrame([(float(r), float(m)) for r in (1, 4, 16) for m in (2, 8)], "ref_factor double, moving_factor double").select("*", *affine.columns_of(BACK))),
@@ -209,7 +228,7 @@ _LAPLACE = """w AS (SELECT y, x, CAST(coalesce(lag(v) OVER a, v) + coalesce(lead
     FROM e WINDOW a AS (PARTITION BY y ORDER BY x), d AS (PARTITION BY x ORDER BY y))"""
 _ENTROPY = """{name} AS (SELECT y, x, log2(sum(c)) - sum(c * log2(c)) / sum(c) AS entropy FROM (
     SELECT p.y, p.x, q.v, count(*) AS c FROM l p, {steps} a, {steps} b, l q WHERE q.y = p.y + a.k AND q.x = p.x + b.k GROUP BY 1, 2, 3) GROUP BY 1, 2)"""
-_SHIFTS = f"""f AS (SELECT CAST(y // 16 AS INTEGER) AS by_, CAST(x // 16 AS INTEGER) AS bx, y % 16 AS iy, x % 16 AS ix, w FROM w WHERE y // 16 < 31),
+_SHIFTS = f"""f AS (SELECT CAST(y // 16 AS INTEGER) AS by_, CAST(x // 16 AS INTEGER) AS bx, y % 16 AS iy, x % 16 AS ix, w FROM w QUALIFY count(*) OVER (PARTITION BY y // 16, x // 16) = 256),
     m AS (SELECT by_, bx, (iy - (by_ % 3 - 1) + 16) % 16 AS iy, (ix - (bx % 3 - 1) + 16) % 16 AS ix, w AS w2 FROM f),
     mv AS (SELECT by_, bx, (iy + a.k + 16) % 16 AS iy, (ix + b.k + 16) % 16 AS ix, w2, a.k AS dy, b.k AS dx FROM m, {_steps(2)} a, {_steps(2)} b),
     sc AS (SELECT by_, bx, dy, dx, CAST(sum(CAST(w AS BIGINT) * w2) AS BIGINT) AS score FROM f JOIN mv USING (by_, bx, iy, ix) GROUP BY 1, 2, 3, 4),
@@ -217,12 +236,20 @@ _SHIFTS = f"""f AS (SELECT CAST(y // 16 AS INTEGER) AS by_, CAST(x // 16 AS INTE
 _HIST = "ends AS (SELECT CAST(min(v) AS DOUBLE) AS lo, CAST(max(v) AS DOUBLE) AS hi FROM e), h AS (SELECT CAST(least(floor((v - lo) / ((hi - lo) / 256)), 255) AS INTEGER) AS bin, count(*) AS n, any_value(lo) AS lo, any_value(hi) AS hi FROM e, ends GROUP BY 1), hc AS (SELECT bin, n, lo + (bin + 0.5e0) * ((hi - lo) / 256) AS centre FROM h)"
 
 
+def _otsu(rows: str, v: str) -> str:
+    """CTEs whose last, cut(threshold), has Otsu's threshold of a column over 256 bins."""
+    return f"""oe AS (SELECT CAST(min({v}) AS DOUBLE) AS lo, CAST(max({v}) AS DOUBLE) AS hi FROM {rows}), oh AS (SELECT CAST(least(floor(({v} - lo) / ((hi - lo) / 256)), 255) AS INTEGER) AS bin, count(*) AS n, any_value(lo) AS lo, any_value(hi) AS hi FROM {rows}, oe GROUP BY 1),
+    oc AS (SELECT bin, n, lo + (bin + 0.5e0) * ((hi - lo) / 256) AS centre FROM oh), ot AS (SELECT bin, centre, sum(n) OVER u AS w1, sum(n * centre) OVER u AS s1, sum(n) OVER r AS w2, sum(n * centre) OVER r AS s2 FROM oc
+    WINDOW u AS (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), r AS (ORDER BY bin ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+    cut AS (SELECT centre AS threshold FROM ot ORDER BY coalesce(round(CAST(w1 AS DOUBLE) * CAST(w2 AS DOUBLE) * pow(s1 / w1 - s2 / w2, 2), 3), -1) DESC, bin LIMIT 1)"""
+
+
 def _values(rows: list[tuple], names: str) -> str:
     lit = lambda v: f"'{v}'" if isinstance(v, str) else f"CAST({v} AS {'DOUBLE' if isinstance(v, float) else 'BIGINT'})"
     return "(VALUES " + ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows) + f") t({names})"
 
 
-def oracle_sql() -> dict[str, str]:
+def _raster_sql() -> dict[str, str]:
     a, b, c, d, e, f = BACK
     src = f"src AS (SELECT y, x, x * {a}e0 + y * {b}e0 + {c}e0 AS sx, x * {d}e0 + y * {e}e0 + {f}e0 AS sy FROM l)"
     ink = "SELECT y, x, 1 - r / 255e0 AS c, 1 - g / 255e0 AS m, 1 - b / 255e0 AS k2, least(1 - r / 255e0, 1 - g / 255e0, 1 - b / 255e0) AS k FROM rgb"
@@ -234,7 +261,7 @@ def oracle_sql() -> dict[str, str]:
     tile = lambda n: f"CAST((({n} + ({n} + 1023) // 1024 - 1) // (({n} + 1023) // 1024) + 15) // 16 * 16 AS BIGINT)"
     px = _values(PIXELS, "reader, level, px")
     share = lambda name, cond: f"{name}c AS (SELECT v, count(*) AS n FROM e WHERE {cond} GROUP BY v), {name} AS (SELECT CAST(v AS DOUBLE) AS v, sum(n) OVER (ORDER BY v) / CAST((SELECT sum(n) FROM {name}c) AS DOUBLE) AS q FROM {name}c)"
-    codes = lambda name, parity: f"{name} AS (SELECT y AS id, CAST(sum(CASE WHEN v > 128 THEN CAST(1 AS BIGINT) << x ELSE 0 END) AS BIGINT) AS code FROM e WHERE y < 200 AND y % 2 = {parity} AND x < 63 GROUP BY y)"
+    codes = lambda name, parity: f"{name} AS (SELECT y AS id, bit_or(CASE WHEN v > 128 THEN CAST(1 AS UBIGINT) << x ELSE CAST(0 AS UBIGINT) END) AS code FROM e WHERE y % 2 = {parity} GROUP BY y)"
     rescale = lambda how: f"WITH {_RGB} SELECT y, x, CAST({how}((least(greatest(CAST(v AS DOUBLE), 20e0), 230e0) - 20e0) / 210e0 * 255) AS INTEGER) AS v FROM l"
     median = f"""WITH {_RGB} SELECT p.y, p.x, CAST(median(q.v) AS DOUBLE) AS v FROM l p, {_steps(1)} a, {_steps(1)} b, l q
         WHERE q.y = least(greatest(p.y + a.k, 0), {SIZE - 1}) AND q.x = least(greatest(p.x + b.k, 0), {SIZE - 1}) GROUP BY 1, 2"""
@@ -262,13 +289,13 @@ def oracle_sql() -> dict[str, str]:
         "triangle_threshold": f"""WITH {_E}, {_HIST}, p AS (SELECT n AS peak_n, bin AS peak FROM h ORDER BY n DESC, bin LIMIT 1), b AS (SELECT min(bin) AS f, max(bin) AS l FROM h),
             g AS (SELECT *, CASE WHEN peak - f > l - peak THEN f ELSE l END AS tail FROM p, b)
             SELECT round(centre, 6) AS threshold FROM hc, g WHERE bin BETWEEN least(peak, tail) AND greatest(peak, tail) ORDER BY peak_n * abs(bin - tail) - n * abs(peak - tail) DESC, bin LIMIT 1""",
-        "brightfield_flag": f"""WITH {_RGB}, {_ENTROPY.format(name='h', steps=_steps(1))}, j AS (SELECT v, round(entropy, 6) AS t FROM l JOIN h USING (y, x)), c AS (SELECT round(avg(t), 6) AS threshold FROM j),
-            m AS (SELECT median(v) FILTER (WHERE t > threshold) AS inside, median(v) FILTER (WHERE t <= threshold) AS outside FROM j, c) SELECT CAST(inside AS DOUBLE) AS inside, CAST(outside AS DOUBLE) AS outside, inside < outside AS brightfield FROM m""",
+        "brightfield_flag": f"""WITH {_RGB}, {_ENTROPY.format(name='g', steps=_steps(4))}, j AS (SELECT v, round(entropy, 6) AS t FROM l JOIN g USING (y, x)), {_otsu("j", "t")},
+            m AS (SELECT median(v) FILTER (WHERE t > threshold) AS inside, median(v) FILTER (WHERE t <= threshold) AS outside FROM j, cut) SELECT CAST(inside AS DOUBLE) AS inside, CAST(outside AS DOUBLE) AS outside, inside < outside AS brightfield FROM m""",
         "hist_match": f"""WITH {_E}, {share("o", "x < 32")}, {share("r", "x >= 32")}, s AS (SELECT v AS v1, q AS q1, lead(v) OVER (ORDER BY q) AS v2, lead(q) OVER (ORDER BY q) AS q2 FROM r)
             SELECT CAST(o.v AS INTEGER) AS v, round(CASE WHEN o.q < (SELECT min(q) FROM r) THEN (SELECT min(v) FROM r) ELSE v1 + coalesce((o.q - q1) / (q2 - q1) * (v2 - v1), 0) END, 6) AS matched FROM o LEFT JOIN s ON o.q >= q1 AND (q2 IS NULL OR o.q < q2)""",
         "rescale_trunc": rescale("trunc"),
         "rescale_round": rescale("rint").replace("rint((", "round_even((").replace("* 255) AS", "* 255, 0) AS"),
-        "cmyk_marker": f"WITH {_RGB}, i AS ({ink}) SELECT y, x, round(CASE WHEN k >= 1 THEN 0 ELSE (m - k) / (1 - k) + (k2 - k) / (1 - k) END, 6) AS v FROM i",
+        "cmyk_marker": median.replace(f"WITH {_RGB}", f"WITH {_RGB}, i AS ({ink}), n AS (SELECT y, x, round(CASE WHEN k >= 1 THEN 0 ELSE (m - k) / (1 - k) + (k2 - k) / (1 - k) END, 6) AS v FROM i)").replace("FROM l p", "FROM n p").replace("b, l q", "b, n q"),
         "stain_unmix": f"WITH {_RGB} SELECT y, x, {stain(0)} AS hematoxylin, {stain(1)} AS aec FROM rgb",
         "level_geometry": f"""WITH i AS (SELECT * FROM {level_rows}), s AS (SELECT image, h, w, CAST(r AS INTEGER) AS level, CAST(1 AS BIGINT) << r AS p FROM i, range(32) t(r)),
             k AS (SELECT image, level, CAST({up('h', 'p')} AS BIGINT) AS height, CAST({up('w', 'p')} AS BIGINT) AS width FROM s WHERE level = 0 OR greatest(h, w) > 1024 * (p // 2)) SELECT *, {tile('height')} AS tile_h, {tile('width')} AS tile_w FROM k""",

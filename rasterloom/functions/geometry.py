@@ -40,11 +40,15 @@ def match_levels_nearest(levels: DataFrame) -> DataFrame:
     return near.groupBy("reader").agg(F.min_by("level", F.struct("away", "px", "level")).alias("level"))
 
 
-def unique_names(names: DataFrame) -> DataFrame:
-    """(place, name): names that occur more than once get _1, _2, ... in order of place."""
-    same = Window.partitionBy("name")
-    ranked = names.select("place", "name", F.count(F.lit(1)).over(same).alias("n"), F.row_number().over(same.orderBy("place")).alias("k"))
-    return ranked.select("place", F.when(F.col("n") > 1, F.concat_ws("_", "name", "k")).otherwise(F.col("name")).alias("name"))
+def unique_names(names: DataFrame, rounds: int = 4) -> DataFrame:
+    """(place, name): names that occur more than once get _1, _2, ... in order of place, until none do.
+
+    A number can make a name equal to another; `rounds` rounds settle lists whose names are not made to clash."""
+    for _ in range(rounds):
+        same = Window.partitionBy("name")
+        ranked = names.select("place", "name", F.count(F.lit(1)).over(same).alias("n"), F.row_number().over(same.orderBy("place")).alias("k"))
+        names = ranked.select("place", F.when(F.col("n") > 1, F.concat_ws("_", "name", "k")).otherwise(F.col("name")).alias("name"))
+    return names
 
 
 def rotation(k: int, height: int, width: int) -> tuple[float, ...]:

@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Micrometres in each length unit (fixed values).
-MICROMETRES = {"m": 1e6, "cm": 1e4, "mm": 1e3, "µm": 1.0, "nm": 1e-3, "pm": 1e-6}
+MICROMETRES = {
+    "Ym": 1e30, "Zm": 1e27, "Em": 1e24, "Pm": 1e21, "Tm": 1e18, "Gm": 1e15, "Mm": 1e12, "km": 1e9, "hm": 1e8, "dam": 1e7, "m": 1e6, "dm": 1e5, "cm": 1e4, "mm": 1e3,
+    "µm": 1.0, "nm": 1e-3, "pm": 1e-6, "fm": 1e-9, "am": 1e-12, "zm": 1e-15, "ym": 1e-18, "Å": 1e-4, "in": 25400.0, "ft": 304800.0, "yd": 914400.0, "mi": 1609344000.0, "pt": 25400 / 72,
+}
 
 
 def slide_list(slides: DataFrame, reference_like: str) -> DataFrame:
@@ -24,12 +27,12 @@ def slide_list(slides: DataFrame, reference_like: str) -> DataFrame:
 
 
 def pixel_sizes(metadata: DataFrame) -> DataFrame:
-    """(slide, pixel_size) in micrometres of rows (slide, xml); 1 where no size can be read."""
-    found = metadata.select(
-        "slide",
-        F.try_to_number(F.regexp_extract("xml", r'PhysicalSizeX="([0-9.]+)"', 1), F.lit("999999.999999")).cast("double").alias("size"),
-        F.regexp_extract("xml", 'PhysicalSizeXUnit="([^"]*)"', 1).alias("unit"),
-    )
+    """(slide, pixel_size) in micrometres of rows (slide, xml); 1 where no size can be read.
+
+    The size is the first image's, any number; without a unit it is in micrometres, and units that
+    have no length (pixels) count as unreadable."""
+    tag = F.regexp_extract("xml", r"<(?:\w+:)?Pixels\b[^>]*>", 0)
+    found = metadata.select("slide", F.regexp_extract(tag, r'\bPhysicalSizeX\s*=\s*"([^"]*)"', 1).try_cast("double").alias("size"), F.regexp_extract(tag, r'\bPhysicalSizeXUnit\s*=\s*"([^"]*)"', 1).alias("unit"))
     scale = F.create_map(*[F.lit(x) for kv in MICROMETRES.items() for x in kv])
-    unit = F.when(F.col("unit") == "", "µm").otherwise(F.col("unit"))
+    unit = F.when(F.col("unit") == "", "µm").otherwise(F.regexp_replace("unit", "\u03bc", "µ"))
     return found.select("slide", F.coalesce(F.col("size") * scale[unit], F.lit(1.0)).alias("pixel_size"))
