@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .catalogues import alignment as alignment_catalogue
 from .catalogues import metadata as metadata_catalogue
 from .functions import affine, colour, geometry
 from .operators import align, matching, objects, resample, stencil, threshold
@@ -142,7 +143,7 @@ def _channels(spark: SparkSession, d: str) -> DataFrame:
 
 
 #: Further queries by subject, each with queries() and oracle_sql().
-SUBJECTS = (metadata_catalogue,)
+SUBJECTS = (metadata_catalogue, alignment_catalogue)
 
 
 def queries() -> dict[str, Query]:

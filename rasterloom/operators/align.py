@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.affine import ENTRIES
+from ..lineage import cut
 from .threshold import triangle
 
 
@@ -67,18 +69,23 @@ def constrained(shifts: DataFrame) -> DataFrame:
     """(by, bx, dy, dx, passed, fitted_dy, fitted_dx): shifts that stray from a plane through the
     small ones are replaced by the plane.
 
-    Null shifts are no estimates: they never pass."""
-    size = F.sqrt(F.col("dy").cast("double") ** 2 + F.col("dx").cast("double") ** 2)
-    known = shifts.filter("dy is not null and dx is not null").withColumn("v", size)
-    small = known.crossJoin(F.broadcast(triangle(known))).filter("v <= threshold")
-    py, px = (_plane(small, c).toDF(*[f"{c}_{k}" for k in "cab"]) for c in ("dy", "dx"))
-    fitted = shifts.crossJoin(F.broadcast(py.crossJoin(px)))
-    fitted = fitted.withColumns({f"plane_{c}": F.expr(f"{c}_c + {c}_a * by + {c}_b * bx") for c in ("dy", "dx")})
-    fitted = fitted.withColumn("v", F.expr("sqrt((dy - plane_dy) * (dy - plane_dy) + (dx - plane_dx) * (dx - plane_dx))"))
-    out = fitted.crossJoin(F.broadcast(triangle(fitted.filter("v is not null").withColumn("v", F.round("v", 6)))))
-    passed = F.coalesce(F.round("v", 6) <= F.col("threshold"), F.lit(False))
-    pick: Column = lambda c: F.round(F.when(passed, F.col(c).cast("double")).otherwise(F.col(f"plane_{c}")), 6)
-    return out.select("by", "bx", "dy", "dx", passed.alias("passed"), pick("dy").alias("fitted_dy"), pick("dx").alias("fitted_dx"))
+    Null and infinite shifts are no estimates: they never pass. shifts has a row a block; it is cut
+    from its lineage once and read by three small aggregates, of each of which the driver takes one row."""
+    finite = F.expr("dy is not null and dx is not null and abs(dy) < double('infinity') and abs(dx) < double('infinity')")
+    shifts = cut(shifts)
+    known = shifts.filter(finite).withColumn("v", F.round(F.sqrt(F.col("dy").cast("double") ** 2 + F.col("dx").cast("double") ** 2), 6))
+    first = triangle(known).first()
+    small = known.filter(F.col("v") < (first[0] if first else 0.0))
+    planes = _plane(small, "dy").crossJoin(_plane(small, "dx").toDF("c2", "a2", "b2")).first()  # one row each
+    planes = [p if p is not None else 0.0 for p in planes]
+    by, bx = F.col("by").cast("double"), F.col("bx").cast("double")
+    plane = {"dy": planes[0] + planes[1] * by + planes[2] * bx, "dx": planes[3] + planes[4] * by + planes[5] * bx}
+    off = F.when(finite, F.round(F.sqrt((F.col("dy") - plane["dy"]) ** 2 + (F.col("dx") - plane["dx"]) ** 2), 6))
+    fitted = shifts.withColumn("v", off)
+    second = triangle(fitted.filter("v is not null")).first()
+    passed = F.coalesce(F.col("v") < (second[0] if second else 0.0), F.lit(False))
+    pick: Column = lambda c: F.round(F.when(passed, F.col(c).cast("double")).otherwise(plane[c]), 6)
+    return fitted.select("by", "bx", "dy", "dx", passed.alias("passed"), pick("dy").alias("fitted_dy"), pick("dx").alias("fitted_dx"))
 
 
 def finest_valid(levels: DataFrame) -> DataFrame:
@@ -89,6 +96,30 @@ def finest_valid(levels: DataFrame) -> DataFrame:
     return best.select("by", "bx", "level", (F.col("dy") * F.col("ratio")).alias("dy"), (F.col("dx") * F.col("ratio")).alias("dx"))
 
 
+def multires_shifts(levels: DataFrame, rows: int, columns: int, excluded: list[int] | None = None) -> DataFrame:
+    """(by, bx, level, dy, dx) on the finest grid, of every level's constrained shifts (level, ratio, by, bx,
+    dy, dx, passed, fitted_dy, fitted_dx).
+
+    A level is valid in a block where the constraint left its shift as it was and it is not excluded; the
+    finest valid one counts, and the finest of all where none is valid. Shifts are scaled by the whole ratio of levels."""
+    valid = F.col("passed") & ~F.col("level").isin(excluded or [])
+    ratio = F.col("ratio").cast("int")
+    fine = levels.withColumn("valid", valid).select("level", ratio.alias("ratio"), "valid", F.col("fitted_dy").alias("dy"), F.col("fitted_dx").alias("dx"),
+        F.explode(F.sequence(F.col("by") * ratio, (F.col("by") + 1) * ratio - 1)).alias("by"), "bx")
+    fine = fine.filter(F.col("by") < rows).select("level", "ratio", "valid", "dy", "dx", "by", F.explode(F.sequence(F.col("bx") * F.col("ratio"), (F.col("bx") + 1) * F.col("ratio") - 1)).alias("bx"))
+    return finest_valid(fine.filter(F.col("bx") < columns)).select("by", "bx", "level", "dy", "dx")
+
+
+def objects_combined(matrices: DataFrame, objects: DataFrame, blocks: DataFrame, baseline: tuple[float, ...], excluded: list[int] | None = None) -> DataFrame:
+    """(by, bx, obj_id, a00 .. a12): each block's matrix from the largest object that covers it, else the baseline.
+
+    matrices has (obj_id, by, bx, a00 .. a12) for the blocks that an object covers."""
+    covers = matrices.filter(~F.col("obj_id").isin(excluded or []))
+    best = largest_object(blocks, covers.select("by", "bx", "obj_id"), objects)
+    known = best.join(covers, ["by", "bx", "obj_id"], "left")
+    return known.select("by", "bx", "obj_id", *[F.when(F.col("obj_id").isNull(), F.lit(float(b))).otherwise(F.col(n)).alias(n) for n, b in zip(ENTRIES, baseline)])
+
+
 def largest_object(blocks: DataFrame, covers: DataFrame, objects: DataFrame) -> DataFrame:
     """(by, bx, obj_id): the largest object that covers a block, null where none does."""
     order = Window.partitionBy("by", "bx").orderBy(F.col("area").desc(), "obj_id")

@@ -2,20 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-Matrix = tuple[float, float, float, float, float, float]
-
+from ..lineage import cut
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder that spark.checkpoint.dir names, or one made up where it is unset."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rasterloom-objects-"))
-    return df.checkpoint()
+Matrix = tuple[float, float, float, float, float, float]
 
 
 def label_objects(mask: DataFrame) -> DataFrame:
@@ -28,16 +20,16 @@ def label_objects(mask: DataFrame) -> DataFrame:
     row = Window.partitionBy("y").orderBy("x")
     starts = mask.select("y", "x").distinct().withColumn("new", F.col("x") - F.coalesce(F.lag("x").over(row), F.col("x") - 2) > 1)
     at = F.shiftleft(F.col("y").cast("long"), 32) + F.col("x")
-    runs = _cut(starts.withColumn("run", F.max(F.when(F.col("new"), at)).over(row)).select("y", "x", "run"))
+    runs = cut(starts.withColumn("run", F.max(F.when(F.col("new"), at)).over(row)).select("y", "x", "run"))
     above = runs.select((F.col("y") + 1).alias("y"), F.explode(F.array(F.col("x") - 1, "x", F.col("x") + 1)).alias("x"), F.col("run").alias("b"))
     down = runs.join(above, ["y", "x"]).select(F.col("run").alias("a"), "b").distinct()
-    edges = _cut(down.union(down.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = _cut(runs.select(F.col("run").alias("a"), F.col("run").alias("label")).distinct())
+    edges = cut(down.union(down.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    labels = cut(runs.select(F.col("run").alias("a"), F.col("run").alias("label")).distinct())
     while True:
         near = edges.join(labels.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
         spread = labels.withColumnRenamed("label", "old").join(near, "a", "left").withColumn("label", F.least("old", "near"))
         jump = labels.select(F.col("a").alias("label"), F.col("label").alias("further"))
-        spread = _cut(spread.join(jump, "label", "left").select("a", "old", F.least("label", "further").alias("label")))
+        spread = cut(spread.join(jump, "label", "left").select("a", "old", F.least("label", "further").alias("label")))
         labels = spread.select("a", "label")
         if spread.filter("old <> label").isEmpty():
             return runs.join(labels.withColumnRenamed("a", "run"), "run").select("y", "x", "label")
@@ -71,3 +63,12 @@ def blocks_by_cover(blocks: DataFrame, ranges: DataFrame, covered: bool = True)
     """The blocks (by, bx) that some range (rs, re, cs, ce) holds, or those that none holds."""
     cells = ranges.filter("re > rs and ce > cs").select(F.explode(F.expr("sequence(rs, re - 1)")).alias("by"), "cs", "ce").select("by", F.explode(F.expr("sequence(cs, ce - 1)")).alias("bx"))
     return blocks.join(cells, ["by", "bx"], "left_semi" if covered else "left_anti")
+
+
+def by_area(boxes: DataFrame, factor: int = 1) -> DataFrame:
+    """(obj_id, rs, re, cs, ce, area): boxes (label, ...) numbered from the largest area down, equal areas by label.
+
+    Boxes are scaled up by the factor that their image was scaled down. Objects of one slide are few, so they are ranked in one task."""
+    order = Window.orderBy(F.col("area").desc(), "label")
+    scaled = [(F.col(c) * factor).cast("int").alias(c) for c in ("rs", "re", "cs", "ce")]
+    return boxes.select((F.row_number().over(order) - 1).cast("int").alias("obj_id"), *scaled, "area")

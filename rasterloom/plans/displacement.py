@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import align, stencil
+from ..operators import align, stencil, tiles
 from ..sources import rasters
 
 BLOCK = 16
@@ -26,5 +26,14 @@ def block_shifts(spark: SparkSession, sf_dir: str, reach: int = 2) -> DataFrame:
 
 
 def constrained_shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shifts = block_shifts(spark, sf_dir).select("by", "bx", "dy", "dx").persist()  # a row a block, read by each fit
-    return align.constrained(shifts)
+    return align.constrained(block_shifts(spark, sf_dir).select("by", "bx", "dy", "dx"))
+
+
+def raw_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Tile rows of the whole blocks of the vector raster, and of the same moved circularly by a known shift."""
+    pixels = rasters.vector_raster(rasters.table(spark, sf_dir, "embeddings"))
+    full = align.whole_blocks(align.blocked(pixels, BLOCK, "v"), BLOCK)
+    by, bx = F.col("by") % 3 - 1, F.col("bx") % 3 - 1
+    moved = full.select("by", "bx", F.pmod(F.col("iy") - by, F.lit(BLOCK)).alias("iy"), F.pmod(F.col("ix") - bx, F.lit(BLOCK)).alias("ix"), "v")
+    place = [F.lit(0).alias("channel"), (F.col("by") * BLOCK + F.col("iy")).alias("y"), (F.col("bx") * BLOCK + F.col("ix")).alias("x"), "v"]
+    return tuple(tiles.pack(p.select(*place), BLOCK) for p in (full, moved))
