@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalogues import alignment as alignment_catalogue
+from .catalogues import images as images_catalogue
 from .catalogues import metadata as metadata_catalogue
 from .functions import affine, colour, geometry
 from .operators import align, matching, objects, resample, stencil, threshold
@@ -143,7 +144,7 @@ def _channels(spark: SparkSession, d: str) -> DataFrame:
 
 
 #: Further queries by subject, each with queries() and oracle_sql().
-SUBJECTS = (metadata_catalogue, alignment_catalogue)
+SUBJECTS = (metadata_catalogue, alignment_catalogue, images_catalogue)
 
 
 def queries() -> dict[str, Query]:
@@ -254,9 +255,7 @@ def _raster_sql() -> dict[str, str]:
     a, b, c, d, e, f = BACK
     src = f"src AS (SELECT y, x, x * {a}e0 + y * {b}e0 + {c}e0 AS sx, x * {d}e0 + y * {e}e0 + {f}e0 AS sy FROM l)"
     ink = "SELECT y, x, 1 - r / 255e0 AS c, 1 - g / 255e0 AS m, 1 - b / 255e0 AS k2, least(1 - r / 255e0, 1 - g / 255e0, 1 - b / 255e0) AS k FROM rgb"
-    unmix = colour.unmixing()
-    od = lambda ch: f"ln(greatest({ch} / 255e0, 1e-6)) / ln(1e-6)"
-    stain = lambda k: "round(greatest(" + " + ".join(f"({od(ch)}) * ({float(w)!r})" for ch, w in zip("rgb", unmix[:, k])) + ", 0e0), 6)"
+    stain = lambda k: f"round({images_catalogue.stain_sql(colour.HAX, k)}, 6)"
     level_rows = _values([(i, h, w) for i, _, h, w in LEVELS], "image, h, w")
     up = lambda n, p: f"(({n} + {p} - 1) // {p})"
     tile = lambda n: f"CAST((({n} + ({n} + 1023) // 1024 - 1) // (({n} + 1023) // 1024) + 15) // 16 * 16 AS BIGINT)"

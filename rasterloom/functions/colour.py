@@ -24,9 +24,8 @@ def marker_ink(r: str = "r", g: str = "g", b: str = "b") -> Column:
 
 def unmixing(stains: tuple = HAX) -> np.ndarray:
     """The inverse of the stain matrix; the third stain is perpendicular to the two given."""
-    rows = [np.array(s) / np.linalg.norm(s) for s in stains]
-    third = np.cross(rows[0], rows[1])
-    return np.linalg.inv(np.array([*rows, third / np.linalg.norm(third)]))
+    rows = [np.array(s) for s in stains]
+    return np.linalg.inv(np.array([*rows, np.cross(*rows)]))
 
 
 def stain(which: int, stains: tuple = HAX) -> Column:
@@ -43,3 +42,18 @@ def flow_lab(dy: str, dx: str, radius: float) -> tuple[Column, Column, Column]:
     scale = F.greatest(F.sqrt(y * y + x * x), F.lit(float(radius)))
     a, b = x / scale, y / scale
     return F.sqrt(a * a + b * b) * 50, a * 100, b * 100
+
+
+def cmyk(r: str = "r", g: str = "g", b: str = "b") -> list[Column]:
+    """Cyan, magenta, yellow and black from 0 to 1; black has no colour."""
+    own = [1 - F.col(k) / F.lit(255.0) for k in (r, g, b)]
+    black = F.least(*own)
+    return [*[F.coalesce(F.try_divide(c - black, 1 - black), F.lit(0.0)) for c in own], black]
+
+
+def processed(mode: str) -> Column:
+    """The intensity of a mode before neighbourhoods: what is stained, or how dark it is."""
+    modes = {"grayscale": lambda: luma().cast("double"), "hematoxylin": lambda: stain(0), "dab": lambda: stain(1, HDX), "aec": marker_ink}
+    if mode not in modes:
+        raise ValueError(f"no colour mode {mode!r}")
+    return modes[mode]()

@@ -6,6 +6,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import halo, tiles
+from .resample import warp_bilinear
+
+
 def laplacian(pixels: DataFrame) -> DataFrame:
     """Sum of the four neighbours less four times the pixel; the border pixel is its own neighbour."""
     v, lines = F.col("v"), (Window.partitionBy("y").orderBy("x"), Window.partitionBy("x").orderBy("y"))
@@ -32,29 +36,65 @@ def strided(pixels: DataFrame, factor: int) -> DataFrame:
     return kept.select((F.col("y") / factor).cast("int").alias("y"), (F.col("x") / factor).cast("int").alias("x"), "v")
 
 
-def _offsets(pixels: DataFrame, reach: int) -> DataFrame:
-    """Each pixel's value sent to every place within reach; places outside the image too."""
-    steps = F.sequence(F.lit(-reach), F.lit(reach))
-    rows = pixels.select("v", "x", "y", F.explode(steps).alias("dy"))
-    rows = rows.select("v", F.col("y") + F.col("dy"), "x", F.explode(steps).alias("dx")).toDF("v", "y", "x", "dx")
-    return rows.select("y", (F.col("x") + F.col("dx")).alias("x"), "v")
+#: Side of the tiles that neighbourhoods are worked out on.
+SIDE = 256
+
+
+def _over_tiles(pixels: DataFrame, reach: int, height: int, width: int, kernel: halo.Kernel, border: str, side: int) -> DataFrame:
+    packed = tiles.pack(pixels.select(F.lit(0).alias("channel"), "y", "x", "v"), side)
+    return tiles.unpack(halo.stencil(packed, side, reach, height, width, kernel, border), side, height, width).select("y", "x", "v")
 
 
-def median3(pixels: DataFrame, height: int, width: int) -> DataFrame:
+def median3(pixels: DataFrame, height: int, width: int, side: int = SIDE) -> DataFrame:
     """Median of the 3 x 3 neighbourhood, the border repeated outwards."""
-    # a pixel outside the border has the value of the border pixel next to it
-    outer = pixels.select("v", F.explode(F.concat(F.array("y"), F.when(F.col("y") == 0, F.array(F.lit(-1))).otherwise(F.array().cast("array<int>")), F.when(F.col("y") == height - 1, F.array(F.lit(height))).otherwise(F.array().cast("array<int>")))).alias("y"), "x")
-    outer = outer.select("v", "y", F.explode(F.concat(F.array("x"), F.when(F.col("x") == 0, F.array(F.lit(-1))).otherwise(F.array().cast("array<int>")), F.when(F.col("x") == width - 1, F.array(F.lit(width))).otherwise(F.array().cast("array<int>")))).alias("x"))
-    inside = F.expr(f"y between 0 and {height - 1} and x between 0 and {width - 1}")
-    return _offsets(outer, 1).filter(inside).groupBy("y", "x").agg(F.expr("percentile(v, 0.5)").alias("v"))
+    return _over_tiles(pixels, 1, height, width, halo.median_kernel(1), "edge", side)
 
 
-def local_entropy(pixels: DataFrame, reach: int, height: int, width: int) -> DataFrame:
+def local_entropy(pixels: DataFrame, reach: int, height: int, width: int, side: int = SIDE) -> DataFrame:
     """Shannon entropy in bits of the values in the square of this reach, cut at the border."""
-    inside = F.expr(f"y between 0 and {height - 1} and x between 0 and {width - 1}")
-    counts = _offsets(pixels, reach).filter(inside).groupBy("y", "x", "v").agg(F.count(F.lit(1)).alias("c"))
-    whole = counts.groupBy("y", "x").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.log2("c")).alias("s"))
-    return whole.select("y", "x", (F.log2("n") - F.col("s") / F.col("n")).alias("entropy"))
+    return _over_tiles(pixels, reach, height, width, halo.entropy_kernel(reach), "clip", side).withColumnRenamed("v", "entropy")
+
+
+def whitened(pixels: DataFrame, sigma: float, height: int, width: int, side: int = SIDE) -> DataFrame:
+    """(y, x, v): a Gaussian, then the Laplacian, the image mirrored at its border."""
+    reach, kernel = halo.whiten_kernel(sigma)
+    return _over_tiles(pixels, reach, height, width, kernel, "symmetric", side)
+
+
+def pyramid_step(pixels: DataFrame, height: int, width: int, side: int = SIDE) -> DataFrame:
+    """(y, x, v) half as large: every second pixel of the image smoothed over 5 x 5."""
+    return strided(_over_tiles(pixels, 2, height, width, halo.smooth_kernel, "reflect", side), 2)
+
+
+def gaussian_pyramid(pixels: DataFrame, height: int, width: int, most: int = 1024, side: int = SIDE) -> DataFrame:
+    """(level, y, x, v): steps until the halved longer side is at most `most`."""
+    out, size = pixels.select(F.lit(0).alias("level"), "y", "x", F.col("v").cast("double").alias("v")), max(height, width)
+    at, level = pixels.select("y", "x", "v"), 0
+    while size > most:
+        at, level = pyramid_step(at, height, width, side), level + 1
+        height, width, size = -(-height // 2), -(-width // 2), size // 2
+        out = out.unionByName(at.select(F.lit(level).alias("level"), "y", "x", "v"))
+    return out
+
+
+def downscaled_mean(pixels: DataFrame, factor: int, height: int, width: int) -> DataFrame:
+    """Means of factor x factor blocks; blocks cut by the border are filled by the image mirrored about its border pixel."""
+
+    def filled(df: DataFrame, c: str, n: int) -> DataFrame:
+        missing = -n % factor
+        if not missing:
+            return df
+        twin = F.when(F.col(c).between(n - 1 - missing, n - 2), F.array(F.col(c), 2 * n - 2 - F.col(c))).otherwise(F.array(c))
+        return df.select(*[F.explode(twin).alias(c) if k == c else k for k in df.columns])
+
+    whole = filled(filled(pixels.select("y", "x", "v"), "y", height), "x", width)
+    return blocks_mean(whole, factor)
+
+
+def translated(pixels: DataFrame, dy: float, dx: float, height: int, width: int) -> DataFrame:
+    """The image moved by a shift, bilinear, 0 where nothing comes from."""
+    grid = pixels.select("y", "x").filter((F.col("y") < height) & (F.col("x") < width))
+    return warp_bilinear(pixels, grid, (1.0, 0.0, -dx, 0.0, 1.0, -dy))
 
 
 def repeated(image: DataFrame, rows: int, columns: int) -> DataFrame:

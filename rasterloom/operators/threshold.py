@@ -67,13 +67,30 @@ def matched_histogram(pixels: DataFrame, reference: DataFrame) -> DataFrame:
         upto = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return counts.crossJoin(F.broadcast(total)).select(F.col("v").cast("double").alias("v"), (F.sum("n").over(upto) / F.col("total")).alias("q"))
 
+    # both images' values in order of their shares, each value next to the reference's steps around it
+    ref, own = shares(reference), shares(pixels)
     along = Window.orderBy("q")
-    steps = shares(reference).select(F.col("v").alias("v1"), F.col("q").alias("q1"), F.lead("v").over(along).alias("v2"), F.lead("q").over(along).alias("q2"))
-    low = shares(reference).agg(F.min("v").alias("least"), F.min("q").alias("q0"))
-    own = shares(pixels).crossJoin(F.broadcast(low))
-    found = own.join(F.broadcast(steps), (F.col("q") >= F.col("q1")) & (F.col("q2").isNull() | (F.col("q") < F.col("q2"))), "left")  # 256 values at most
+    steps = ref.select(F.col("v").alias("v1"), F.col("q").alias("q1"), F.lead("v").over(along).alias("v2"), F.lead("q").over(along).alias("q2"))
+    low = ref.agg(F.min("v").alias("least"), F.min("q").alias("q0"))
+    none = F.lit(None).cast("struct<v1:double,q1:double,v2:double,q2:double>")
+    line = steps.select(F.col("q1").alias("q"), F.lit(0).alias("kind"), F.lit(None).cast("double").alias("v"), F.struct("v1", "q1", "v2", "q2").alias("s")).unionByName(own.select("q", F.lit(1).alias("kind"), "v", none.alias("s")))
+    upto = Window.orderBy("q", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a row a distinct value
+    found = line.withColumn("s", F.last("s", ignorenulls=True).over(upto)).filter("kind = 1").select("v", "q", "s.*").crossJoin(F.broadcast(low))
     between = F.col("v1") + F.coalesce((F.col("q") - F.col("q1")) / (F.col("q2") - F.col("q1")) * (F.col("v2") - F.col("v1")), F.lit(0.0))
-    return found.select(own["v"].cast("int").alias("v"), F.round(F.when(F.col("q") < F.col("q0"), F.col("least")).otherwise(between), 6).alias("matched"))
+    return found.select(F.col("v").cast("int").alias("v"), F.round(F.when(F.col("q") < F.col("q0"), F.col("least")).otherwise(between), 6).alias("matched"))
+
+
+def stretched(pixels: DataFrame, low: float, high: float, out_low: float = 0.0, out_high: float = 1.0) -> DataFrame:
+    """Values between low and high laid out from out_low to out_high, cut off beyond."""
+    unit = (F.least(F.greatest(F.col("v").cast("double"), F.lit(float(low))), F.lit(float(high))) - float(low)) / float(high - low)
+    return pixels.select("y", "x", (unit * (out_high - out_low) + out_low).alias("v"))
+
+
+def log_stretched(pixels: DataFrame) -> DataFrame:
+    """For display: from the 1st to the 99th percentile laid out from 500 to 5000, as logarithms."""
+    ends = F.broadcast(pixels.agg(F.percentile("v", F.lit(0.01)).alias("lo"), F.percentile("v", F.lit(0.99)).alias("hi")))  # one row
+    unit = (F.least(F.greatest("v", "lo"), "hi") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))
+    return pixels.crossJoin(ends).select("y", "x", F.log(F.coalesce(unit, F.lit(0.0)) * 4500 + 500).alias("v"))
 
 
 def normalised(image: DataFrame) -> DataFrame:
