@@ -290,3 +290,28 @@ def test_pipeline_stages_against_brute_force(spark):
     library = pytest.importorskip("tokenizers").Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     got = {r.doc_id: r.ids for r in pipeline.run(spark, data).collect()}
     assert got == {d: library.encode(t or "", add_special_tokens=False).ids for d, t in want.items()}
+
+
+def test_factors_point_to_equal_words_in_earlier_documents(spark):
+    from rasterloom.llm import substring_dedup
+
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(30)]
+    texts = {1: [rng.choice(words) for _ in range(60)], 2: [rng.choice(words) for _ in range(50)]}
+    texts[3] = ["x"] * 5 + texts[1][10:40] + texts[2][5:45] + ["y"]
+    texts[4] = texts[3] + texts[1][:30]
+    texts[5] = ["z"] * 40
+    texts[6] = ["z"] * 25
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in texts.items()], "doc_id long, text string")
+    window, gram = 12, 4
+    found = substring_dedup.factors(docs, window, gram).collect()
+    covered = {d: set() for d in texts}
+    for r in found:
+        assert r.length >= window and r.ref_doc < r.doc_id
+        assert texts[r.doc_id][r.start : r.start + r.length] == texts[r.ref_doc][r.ref_start : r.ref_start + r.length]
+        covered[r.doc_id].update(range(r.start, r.start + r.length))
+    for d, t in texts.items():
+        early = {tuple(o[i : i + window]) for e, o in texts.items() if e < d for i in range(len(o) - window + 1)}
+        want = {k for i in range(len(t) - window + 1) if tuple(t[i : i + window]) in early for k in range(i, i + window)}
+        assert covered[d] == want
+    assert {(r.start, r.length, r.ref_doc, r.ref_start) for r in found if r.doc_id == 3} == {(5, 30, 1, 10), (35, 40, 2, 5)}
