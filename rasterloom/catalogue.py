@@ -246,6 +246,21 @@ def _otsu(rows: str, v: str) -> str:
     cut AS (SELECT centre AS threshold FROM ot ORDER BY coalesce(round(CAST(w1 AS DOUBLE) * CAST(w2 AS DOUBLE) * pow(s1 / w1 - s2 / w2, 2), 3), -1) DESC, bin LIMIT 1)"""
 
 
+def _triangle(rows: str, v: str, name: str) -> str:
+    """CTEs whose last, name(threshold), has the triangle's threshold of a column over 256 bins, empty ones too."""
+    return f"""{name}e AS (SELECT CAST(min({v}) AS DOUBLE) AS lo, CAST(max({v}) AS DOUBLE) AS hi FROM {rows}), {name}h AS (SELECT CASE WHEN hi = lo THEN 0 ELSE CAST(least(floor(({v} - lo) / ((hi - lo) / 256)), 255) AS INTEGER) END AS bin, count(*) AS n FROM {rows}, {name}e GROUP BY 1),
+    {name}p AS (SELECT n AS peak_n, bin AS peak FROM {name}h ORDER BY n DESC, bin LIMIT 1), {name}b AS (SELECT min(bin) AS f, max(bin) AS l FROM {name}h), {name}g AS (SELECT *, CASE WHEN l - peak > peak - f THEN l ELSE f END AS tail FROM {name}p, {name}b),
+    {name}k AS (SELECT CAST(r AS INTEGER) AS bin, coalesce(n, 0) AS n FROM range(256) q(r) LEFT JOIN {name}h ON bin = r),
+    {name} AS (SELECT lo + (bin + 0.5e0) * ((hi - lo) / 256) AS threshold FROM {name}k, {name}g, {name}e WHERE bin BETWEEN least(peak, tail) AND greatest(peak, tail) AND (bin <> peak OR peak = tail) ORDER BY peak_n * abs(bin - tail) - n * abs(peak - tail) DESC, abs(bin - tail) LIMIT 1)"""
+
+
+def _plane_sql(rows: str, v: str, name: str) -> str:
+    """CTEs whose last, name(c, a, b), has the least-squares plane c + a * by + b * bx of a column."""
+    return f"""{name}m AS (SELECT avg({v}) AS mv, avg(by_) AS my, avg(bx) AS mx, regr_sxx(by_, by_) AS syy, regr_sxx(bx, bx) AS sxx, coalesce(regr_sxy(by_, bx), 0) AS syx, coalesce(regr_sxy({v}, by_), 0) AS syv, coalesce(regr_sxy({v}, bx), 0) AS sxv FROM (SELECT CAST(by_ AS DOUBLE) AS by_, CAST(bx AS DOUBLE) AS bx, CAST({v} AS DOUBLE) AS {v} FROM {rows})),
+    {name}d AS (SELECT *, syy * sxx - syx * syx AS det FROM {name}m), {name}s AS (SELECT *, CASE WHEN abs(det) > 1e-9 THEN (syv * sxx - sxv * syx) / det WHEN syy > 1e-9 THEN syv / syy ELSE 0 END AS a, CASE WHEN abs(det) > 1e-9 THEN (sxv * syy - syv * syx) / det WHEN syy <= 1e-9 AND sxx > 1e-9 THEN sxv / sxx ELSE 0 END AS b FROM {name}d),
+    {name} AS (SELECT mv - a * my - b * mx AS c, a, b FROM {name}s)"""
+
+
 def _values(rows: list[tuple], names: str) -> str:
     lit = lambda v: f"'{v}'" if isinstance(v, str) else f"CAST({v} AS {'DOUBLE' if isinstance(v, float) else 'BIGINT'})"
     return "(VALUES " + ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows) + f") t({names})"
@@ -286,9 +301,7 @@ def _raster_sql() -> dict[str, str]:
         "otsu_threshold": f"""WITH {_E}, {_HIST}, t AS (SELECT bin, centre, sum(n) OVER u AS w1, sum(n * centre) OVER u AS s1, sum(n) OVER r AS w2, sum(n * centre) OVER r AS s2 FROM hc
             WINDOW u AS (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), r AS (ORDER BY bin ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))
             SELECT round(centre, 6) AS threshold FROM t ORDER BY coalesce(round(CAST(w1 AS DOUBLE) * CAST(w2 AS DOUBLE) * pow(s1 / w1 - s2 / w2, 2), 3), -1) DESC, bin LIMIT 1""",
-        "triangle_threshold": f"""WITH {_E}, {_HIST}, p AS (SELECT n AS peak_n, bin AS peak FROM h ORDER BY n DESC, bin LIMIT 1), b AS (SELECT min(bin) AS f, max(bin) AS l FROM h),
-            g AS (SELECT *, CASE WHEN peak - f > l - peak THEN f ELSE l END AS tail FROM p, b)
-            SELECT round(centre, 6) AS threshold FROM hc, g WHERE bin BETWEEN least(peak, tail) AND greatest(peak, tail) ORDER BY peak_n * abs(bin - tail) - n * abs(peak - tail) DESC, bin LIMIT 1""",
+        "triangle_threshold": f"WITH {_E}, {_triangle('e', 'v', 't')} SELECT round(threshold, 6) AS threshold FROM t",
         "brightfield_flag": f"""WITH {_RGB}, {_ENTROPY.format(name='g', steps=_steps(4))}, j AS (SELECT v, round(entropy, 6) AS t FROM l JOIN g USING (y, x)), {_otsu("j", "t")},
             m AS (SELECT median(v) FILTER (WHERE t > threshold) AS inside, median(v) FILTER (WHERE t <= threshold) AS outside FROM j, cut) SELECT CAST(inside AS DOUBLE) AS inside, CAST(outside AS DOUBLE) AS outside, inside < outside AS brightfield FROM m""",
         "hist_match": f"""WITH {_E}, {share("o", "x < 32")}, {share("r", "x >= 32")}, s AS (SELECT v AS v1, q AS q1, lead(v) OVER (ORDER BY q) AS v2, lead(q) OVER (ORDER BY q) AS q2 FROM r)
@@ -303,6 +316,12 @@ def _raster_sql() -> dict[str, str]:
         "level_match_nearest": f"WITH p AS (SELECT * FROM {px}), t AS (SELECT min(c) AS target FROM (SELECT max(px) AS c FROM p GROUP BY reader)) SELECT reader, CAST(level AS INTEGER) AS level FROM p, t QUALIFY row_number() OVER (PARTITION BY reader ORDER BY abs(px - target), px, level) = 1",
         "channel_naming": f"WITH n AS (SELECT CAST(place AS INTEGER) AS place, name FROM {_values([*enumerate(NAMES)], 'place, name')}) SELECT place, CASE WHEN count(*) OVER (PARTITION BY name) > 1 THEN name || '_' || row_number() OVER (PARTITION BY name ORDER BY place) ELSE name END AS name FROM n",
         "block_shift_int": f'WITH {_E}, {_LAPLACE}, {_SHIFTS} SELECT "by", bx, dy, dx, score FROM sh',
+        "constrain_shifts": f"""WITH {_E}, {_LAPLACE}, {_SHIFTS}, z AS (SELECT "by" AS by_, bx, dy, dx, round(sqrt(CAST(dy * dy + dx * dx AS DOUBLE)), 6) AS v FROM sh), {_triangle("z", "v", "t")}, k AS (SELECT z.* FROM z, t WHERE v < threshold OR (SELECT min(v) = max(v) FROM z)),
+            {_plane_sql("k", "dy", "p")}, {_plane_sql("k", "dx", "q")}, fz AS (SELECT z.by_, z.bx, dy, dx, coalesce(p.c + p.a * by_ + p.b * bx, 0) AS py, coalesce(q.c + q.a * by_ + q.b * bx, 0) AS px FROM z, p, q),
+            oz AS (SELECT *, round(sqrt(pow(dy - py, 2) + pow(dx - px, 2)), 6) AS v FROM fz), {_triangle("oz", "v", "u")}, wz AS (SELECT oz.*, v < threshold OR (SELECT min(v) = max(v) FROM oz) AS passed FROM oz, u)
+            SELECT by_ AS "by", bx, dy, dx, passed, round(CASE WHEN passed THEN dy ELSE py END, 6) AS fitted_dy, round(CASE WHEN passed THEN dx ELSE px END, 6) AS fitted_dx FROM wz""",
+        "block_shift_fft": f"""WITH {_E}, {_LAPLACE}, {_SHIFTS}, al AS (SELECT by_, bx, (f.iy - m.iy + 16) % 16 AS dy, (f.ix - m.ix + 16) % 16 AS dx, sum(CAST(w AS BIGINT) * w2) AS s FROM f JOIN m USING (by_, bx) GROUP BY 1, 2, 3, 4),
+            be AS (SELECT by_, bx, dy, dx FROM al QUALIFY row_number() OVER (PARTITION BY by_, bx ORDER BY s DESC, dy, dx) = 1) SELECT by_ AS "by", bx, CAST(CASE WHEN dy > 8 THEN dy - 16 ELSE dy END AS INTEGER) AS dy, CAST(CASE WHEN dx > 8 THEN dx - 16 ELSE dx END AS INTEGER) AS dx FROM be""",
         "multires_coalesce": """WITH r AS (SELECT CAST(l_partkey % 16 AS INTEGER) AS by_, CAST(l_suppkey % 8 AS INTEGER) AS bx, CAST((l_linenumber - 1) % 3 AS INTEGER) AS level, CAST(CAST(sum(l_quantity) AS BIGINT) % 7 - 3 AS DOUBLE) AS dy,
             CAST(count(*) % 7 - 3 AS DOUBLE) AS dx, sum(l_orderkey) % 3 = 0 AS valid FROM lineitem GROUP BY 1, 2, 3) SELECT by_ AS "by", bx, level, dy * (1 << level) AS dy, dx * (1 << level) AS dx FROM r QUALIFY row_number() OVER (PARTITION BY by_, bx ORDER BY valid DESC, level) = 1""",
         "object_priority": """WITH c AS (SELECT DISTINCT CAST(l_partkey % 32 AS INTEGER) AS by_, CAST(l_orderkey % 32 AS INTEGER) AS bx, CAST(l_suppkey % 10 AS INTEGER) AS obj_id FROM lineitem WHERE l_quantity > 45), o AS (SELECT obj_id, count(*) AS area FROM c GROUP BY 1),

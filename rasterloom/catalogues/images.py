@@ -106,7 +106,7 @@ def stain_sql(stains: tuple, which: int) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    from ..catalogue import _ENTROPY, _RGB, _otsu, _steps
+    from ..catalogue import _ENTROPY, _RGB, _otsu, _steps, _triangle
 
     two = f"{_RGB}, t AS (SELECT y, x, g AS v FROM rgb)"
     odd = "c AS (SELECT CAST(l_partkey % 61 AS INTEGER) AS y, CAST(l_orderkey % 61 AS INTEGER) AS x, CAST(CAST(sum(l_quantity) AS BIGINT) % 256 AS INTEGER) AS v FROM lineitem GROUP BY 1, 2), o AS (SELECT y, x, coalesce(v, 0) AS v FROM (SELECT CAST(r // 61 AS INTEGER) AS y, CAST(r % 61 AS INTEGER) AS x FROM range(3721) q(r)) LEFT JOIN c USING (y, x))"
@@ -121,13 +121,6 @@ def oracle_sql() -> dict[str, str]:
         return f"""{name}s AS (SELECT v AS v1, q AS q1, lead(v) OVER (ORDER BY q) AS v2, lead(q) OVER (ORDER BY q) AS q2 FROM {ref}),
             {name} AS (SELECT a.v, round(CASE WHEN a.q < (SELECT min(q) FROM {ref}) THEN (SELECT min(v) FROM {ref}) ELSE v1 + coalesce((a.q - q1) / (q2 - q1) * (v2 - v1), 0) END, 6) AS matched FROM {own} a LEFT JOIN {name}s ON a.q >= q1 AND (q2 IS NULL OR a.q < q2))"""
 
-    def cut(rows: str, name: str) -> str:
-        return f"{name}e AS (SELECT CAST(min(v) AS DOUBLE) AS lo, CAST(max(v) AS DOUBLE) AS hi FROM {rows}), {name}h AS (SELECT CAST(least(floor((v - lo) / ((hi - lo) / 256)), 255) AS INTEGER) AS bin, count(*) AS n, any_value(lo) AS lo, any_value(hi) AS hi FROM {rows}, {name}e GROUP BY 1), {name}c AS (SELECT bin, n, lo + (bin + 0.5e0) * ((hi - lo) / 256) AS centre FROM {name}h)"
-
-    def triangle(name: str) -> str:
-        return f"""{name}p AS (SELECT n AS peak_n, bin AS peak FROM {name}h ORDER BY n DESC, bin LIMIT 1), {name}b AS (SELECT min(bin) AS f, max(bin) AS l FROM {name}h), {name}g AS (SELECT *, CASE WHEN peak - f > l - peak THEN f ELSE l END AS tail FROM {name}p, {name}b),
-            {name}tri AS (SELECT centre AS threshold FROM {name}c, {name}g WHERE bin BETWEEN least(peak, tail) AND greatest(peak, tail) ORDER BY peak_n * abs(bin - tail) - n * abs(peak - tail) DESC, bin LIMIT 1)"""
-
     otsu = lambda rows, k: _otsu(rows, "v").replace("oe AS", f"{k}oe AS").replace(", oe ", f", {k}oe ").replace("oh AS", f"{k}oh AS").replace("FROM oh", f"FROM {k}oh").replace("oc AS", f"{k}oc AS").replace("FROM oc", f"FROM {k}oc").replace("ot AS", f"{k}ot AS").replace("FROM ot", f"FROM {k}ot").replace("cut AS", f"{k}cut AS")
     ink = "pl AS (SELECT *, least(1 - r / 255e0, 1 - g / 255e0, 1 - b / 255e0) AS k FROM rgb), i AS (SELECT y, x, round(CASE WHEN k >= 1 THEN 0 ELSE (1 - g / 255e0 - k) / (1 - k) + (1 - b / 255e0 - k) / (1 - k) END, 9) AS v FROM pl)"
     median = f"md AS (SELECT p.y, p.x, median(q.v) AS v FROM i p, {_steps(1)} a, {_steps(1)} b, i q WHERE q.y = least(greatest(p.y + a.k, 0), {SIZE - 1}) AND q.x = least(greatest(p.x + b.k, 0), {SIZE - 1}) GROUP BY 1, 2)"
@@ -151,7 +144,7 @@ def oracle_sql() -> dict[str, str]:
         "entropy_mask": f"WITH {inside} SELECT y, x, inside FROM m",
         "block_mask": f'WITH {inside} SELECT CAST(y // 16 AS INTEGER) AS "by", CAST(x // 16 AS INTEGER) AS bx, avg(CAST(inside AS INTEGER)) > 0.1 AS inside FROM m GROUP BY 1, 2',
         "masked_match": f"WITH {two}, {masked}, {share('ls', 'li')}, {share('us', 'ti')}, {table('m', 'ls', 'us')} SELECT l.y, l.x, round(CASE WHEN l.v > 96 THEN matched ELSE fill END, 6) AS v FROM l LEFT JOIN m ON m.v = l.v, tf",
-        "image_pairs": f"""WITH {sides}, {cut('l', 'a')}, {cut('t', 'b')}, {triangle('a')}, {triangle('b')}, {otsu('l', 'a')}, {otsu('t', 'b')}
+        "image_pairs": f"""WITH {sides}, {_triangle('l', 'v', 'atri')}, {_triangle('t', 'v', 'btri')}, {otsu('l', 'a')}, {otsu('t', 'b')}
             SELECT 'otsu' AS variant, 0 AS side, y, x, CAST(v > threshold AS DOUBLE) AS v FROM l, acut UNION ALL SELECT 'otsu', 1, y, x, CAST(v > threshold AS DOUBLE) FROM t, bcut
             UNION ALL SELECT 'triangle', 0, y, x, CAST(v > threshold AS DOUBLE) FROM l, atri UNION ALL SELECT 'triangle', 1, y, x, CAST(v > threshold AS DOUBLE) FROM t, btri
             UNION ALL SELECT 'matched', 0, y, x, CAST(v AS DOUBLE) FROM l UNION ALL SELECT 'matched', 1, y, x, matched FROM t JOIN tm ON tm.v = t.v""",

@@ -65,25 +65,30 @@ def _plane(rows: DataFrame, value: str) -> DataFrame:
     return m.select(F.expr("mv - a * my - b * mx").alias("c"), "a", "b")
 
 
+def _bound(rows: DataFrame) -> float:
+    """Under which values count as small: the triangle's threshold, or no bound where all are equal."""
+    cut_at, ends = triangle(rows).first(), rows.agg(F.min("v"), F.max("v")).first()
+    return float("inf") if cut_at is None or ends[0] == ends[1] else cut_at[0]
+
+
 def constrained(shifts: DataFrame) -> DataFrame:
     """(by, bx, dy, dx, passed, fitted_dy, fitted_dx): shifts that stray from a plane through the
     small ones are replaced by the plane.
 
-    Null and infinite shifts are no estimates: they never pass. shifts has a row a block; it is cut
+    Null and infinite shifts are no estimates: they never pass. Where all shifts are equally long, all
+    are small ones, and where all are equally far from the plane, all pass. shifts has a row a block; it is cut
     from its lineage once and read by three small aggregates, of each of which the driver takes one row."""
     finite = F.expr("dy is not null and dx is not null and abs(dy) < double('infinity') and abs(dx) < double('infinity')")
     shifts = cut(shifts)
     known = shifts.filter(finite).withColumn("v", F.round(F.sqrt(F.col("dy").cast("double") ** 2 + F.col("dx").cast("double") ** 2), 6))
-    first = triangle(known).first()
-    small = known.filter(F.col("v") < (first[0] if first else 0.0))
+    small = known.filter(F.col("v") < _bound(known))
     planes = _plane(small, "dy").crossJoin(_plane(small, "dx").toDF("c2", "a2", "b2")).first()  # one row each
     planes = [p if p is not None else 0.0 for p in planes]
     by, bx = F.col("by").cast("double"), F.col("bx").cast("double")
     plane = {"dy": planes[0] + planes[1] * by + planes[2] * bx, "dx": planes[3] + planes[4] * by + planes[5] * bx}
     off = F.when(finite, F.round(F.sqrt((F.col("dy") - plane["dy"]) ** 2 + (F.col("dx") - plane["dx"]) ** 2), 6))
     fitted = shifts.withColumn("v", off)
-    second = triangle(fitted.filter("v is not null")).first()
-    passed = F.coalesce(F.col("v") < (second[0] if second else 0.0), F.lit(False))
+    passed = F.coalesce(F.col("v") < _bound(fitted.filter("v is not null")), F.lit(False))
     pick: Column = lambda c: F.round(F.when(passed, F.col(c).cast("double")).otherwise(plane[c]), 6)
     return fitted.select("by", "bx", "dy", "dx", passed.alias("passed"), pick("dy").alias("fitted_dy"), pick("dx").alias("fitted_dx"))
 

@@ -28,17 +28,21 @@ def otsu(pixels: DataFrame) -> DataFrame:
 
 
 def triangle(pixels: DataFrame, bins: int = 256) -> DataFrame:
-    """One row, threshold: the bin farthest below the chord from the peak to the longer tail."""
+    """One row, threshold: the bin farthest below the chord from the peak to the longer tail.
+
+    Empty bins count, the peak itself does not; of two equal tails the lower one is taken, of equal
+    bins the one nearest to the tail's end. A constant image has its value for a threshold."""
     h = histogram(pixels, bins)
-    ends = h.agg(F.max(F.struct("n", (-F.col("bin")).alias("b"))).alias("top"), F.min("bin").alias("first"), F.max("bin").alias("last"))
+    ends = h.agg(F.max(F.struct("n", (-F.col("bin")).alias("b"))).alias("top"), F.min(F.struct("bin", "centre")).alias("first"), F.max(F.struct("bin", "centre")).alias("last"))
     ends = ends.select(F.col("top.n").alias("peak_n"), (-F.col("top.b")).alias("peak"), "first", "last")
-    flip = F.col("peak") - F.col("first") > F.col("last") - F.col("peak")
-    ends = ends.withColumn("tail", F.when(flip, F.col("first")).otherwise(F.col("last")))
-    inside = F.expr("bin between least(peak, tail) and greatest(peak, tail)")
-    away = F.abs(F.col("bin") - F.col("tail"))
-    full = F.abs(F.col("peak") - F.col("tail"))
-    drop = F.col("peak_n") * away - F.col("n") * full
-    return h.crossJoin(F.broadcast(ends)).filter(inside).withColumn("drop", drop).orderBy(F.desc("drop"), "bin").limit(1).select(F.col("centre").alias("threshold"))
+    high = F.col("last.bin") - F.col("peak") > F.col("peak") - F.col("first.bin")
+    ends = ends.withColumn("tail", F.when(high, F.col("last.bin")).otherwise(F.col("first.bin")))
+    away, full = F.abs(F.col("bin") - F.col("tail")), F.abs(F.col("peak") - F.col("tail"))
+    every = ends.withColumn("bin", F.explode(F.expr("sequence(least(peak, tail), greatest(peak, tail))"))).filter((away < full) | (full == 0))
+    drop = F.col("peak_n") * away - F.coalesce("n", F.lit(0)) * full
+    step = F.coalesce((F.col("last.centre") - F.col("first.centre")) / F.nullif(F.col("last.bin") - F.col("first.bin"), F.lit(0)), F.lit(0.0))
+    centre = F.col("first.centre") + (F.col("bin") - F.col("first.bin")) * step
+    return every.join(h.select("bin", "n"), "bin", "left").select(drop.alias("drop"), away.alias("away"), centre.alias("threshold")).orderBy(F.desc("drop"), "away").limit(1).select("threshold")
 
 
 def brightfield(pixels: DataFrame, threshold: DataFrame) -> DataFrame:
