@@ -132,10 +132,10 @@ def duplicate_lines(docs: DataFrame, fuzzy_words: int = 8) -> DataFrame:
     ))
     distinct = lines.groupBy("h", "g").agg(F.min(F.struct(*_PLACE, "own", "shorter")).alias("first"))
     near = stored(_near_lines(stored(_fuzzy_lines(docs, distinct))))
-    place = F.struct(*_PLACE)
-    known = lines.groupBy("h", "g").agg(F.min(place).alias("first")).select("h", "g", "first", *[F.col("first")[c].alias(c) for c in _PLACE])
-    known = known.join(near.withColumn("near", F.lit(True)), list(_PLACE), "left").select("h", "g", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    return lines.select(*_PLACE, "h", "g").join(known, ["h", "g"]).filter(F.col("near") | (F.col("first") < place)).select(*_PLACE)
+    # who is first of its equals comes from an aggregate that combines before it shuffles, and the rest by
+    # place, so that the copies of one line, however many, never meet under one key
+    firsts = lines.groupBy("h", "g").agg(F.min(F.struct(*_PLACE)).alias("first")).select("first.*")
+    return lines.select(*_PLACE).join(firsts, list(_PLACE), "left_anti").unionByName(near)
 
 
 def _applied(docs: DataFrame, fuzzy_words: int) -> DataFrame:
