@@ -15,6 +15,8 @@ shards' top k are the top k. Ties go to the smaller id.
 
 A shard is a partition: its documents come first and are indexed as they come, then the queries
 stream past that index, so a task holds one shard and one batch of queries however many there are.
+The queries lie once, in packs, in the folder that the cluster shares, and every shard's task reads
+them there; only documents are shuffled, so disk grows with the input and not with queries x shards.
 
 BM25 with k1 = 1.2 and b = 0.75, idf = ln(1 + (N - df + 0.5) / (df + 0.5)), summed over the
 distinct words of the query. Words are runs without blanks, ASCII letters lower-cased.
@@ -41,6 +43,8 @@ RANGE = 16
 #: Lists that hold one document in so many are kept as a row over all documents as well.
 _OFTEN = 8
 _BITS = 1 << 23
+#: Words of the queries in one pack; a query is never cut.
+_PACK = 1 << 14
 #: Scores are compared after rounding; what is less than this under a score may equal it.
 _NEAR = 1e-7
 
@@ -211,24 +215,40 @@ class Shard:
         return ids[keep], value[keep]
 
 
+def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Queries (id, terms, df) in packs: their ids, how many terms each has, all terms, all df."""
+    for b in batches:
+        first = np.append(0, np.cumsum(b.column(1).value_lengths().to_numpy()))
+        cut = [0]
+        while cut[-1] < b.num_rows:
+            cut.append(max(cut[-1] + 1, int(np.searchsorted(first, first[cut[-1]] + _PACK, side="right")) - 1))
+        columns = (cut, b.column(0)), (cut, np.diff(first)), (first[cut], b.column(1).flatten()), (first[cut], b.column(2).flatten())
+        yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(v)) for at, v in columns], names=["ids", "sizes", "terms", "df"])
+
+
 def _search(k: int, total: int, mean: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = Shard(total, mean)
-        for b in batches:  # a partition is a shard: kind 0 its documents, then kind 1 the queries
-            kind = b.column(1).to_numpy()
+        for b in batches:  # a partition is a shard: kind 0 its documents, then kind 1 the packs of queries
+            kind = b.column(0).to_numpy()
             split = int(np.searchsorted(kind, 1))
             if split:
-                shard.add(b.column(2)[:split].to_numpy(), b.column(3)[:split])
+                if shard.ready:
+                    raise RuntimeError("documents of a shard came after its queries")
+                shard.add(b.column(5)[:split].to_numpy(), b.column(6)[:split])
             if split == len(kind):
                 continue
             if not shard.ready:
                 shard.finish()
-            out: list[list[np.ndarray]] = [[], [], []]
             for i in range(split, len(kind)):
-                ids, scores = shard.search(*(b.column(c)[i].values.to_numpy(zero_copy_only=False) for c in (4, 5)), k)
-                for column, value in zip(out, (np.full(len(ids), b.column(2)[i].as_py()), ids, scores)):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["query_id", "doc_id", "score"])
+                asked, sizes, terms, df = (b.column(c)[i].values.to_numpy(zero_copy_only=False) for c in (1, 2, 3, 4))
+                first = np.append(0, np.cumsum(sizes))
+                out: list[list[np.ndarray]] = [[], [], []]
+                for query, at, to in zip(asked, first, first[1:]):
+                    ids, scores = shard.search(terms[at:to], df[at:to], k)
+                    for column, value in zip(out, (np.full(len(ids), query), ids, scores)):
+                        column.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["query_id", "doc_id", "score"])
 
     return run
 
@@ -248,10 +268,17 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, shard_bytes: int =
     total, words, size = (totals.df, totals.words, totals.bytes) if totals else (0, 0, 0)
     shards = max(1, -(-size // shard_bytes))
     weighted = terms.join(counts.filter("term is not null").select("term", "df"), "term").groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("term", "df"))).alias("t"))
-    every = weighted.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), F.col("query_id").alias("id"), F.lit(None).cast("string").alias("text"), F.col("t.term").alias("terms"), F.col("t.df").alias("df"))
-    none = F.lit(None).cast("array<long>")
-    dealt = texts.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), F.col("doc_id").alias("id"), "text", none.alias("terms"), none.alias("df"))
-    streams = dealt.unionByName(every).repartitionById(shards, F.col("shard")).sortWithinPartitions("kind")
+    parts = ["ids", "sizes", "terms", "df"]
+    packs = stored(weighted.select("query_id", "t.term", "t.df").mapInArrow(_packs, ", ".join(f"{c} array<long>" for c in parts)))
+    # One stream of packs with a row of kind 0 before them, which meets the documents; the packs meet the row that ends the shard.
+    opened = packs.coalesce(1).withColumn("at", F.monotonically_increasing_id())
+    opened = opened.withColumn("kind", F.explode(F.when(F.col("at") == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))))
+    opened = opened.select("kind", *[F.when(F.col("kind") == 1, F.col(c)).alias(c) for c in parts])
+    dealt = texts.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int").alias("shard"), F.lit(1).alias("unlike"), "doc_id", "text")
+    ends = docs.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard"), F.lit(0).alias("unlike"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    dealt = dealt.unionByName(ends).repartitionById(shards, F.col("shard")).drop("shard")
+    # A cartesian product of one partition with each shard's: it holds the shard and streams the packs from where they lie.
+    streams = opened.join(dealt.hint("shuffle_replicate_nl"), F.col("kind") != F.col("unlike")).select("kind", *parts, "doc_id", "text")
     found = streams.mapInArrow(_search(k, total, max(1e-9, words / max(1, total))), "query_id long, doc_id long, score double")
     rank = F.expr("row_number() over (partition by query_id order by score desc, doc_id)")
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "doc_id", F.col("rank").cast("int").alias("rank"), "score")
