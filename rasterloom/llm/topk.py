@@ -7,7 +7,8 @@ the largest upper bound down. The pivot is the first list from which on the boun
 sum to less than the k-th score so far: from there on no document that was not met before can
 still enter, and of what follows only those blocks are opened whose range has a document that the
 blocks' maxima can lift over that score. Everything else is skipped, within lists too. Only
-bounds under the k-th score are ever skipped, so the shard's top k is exact.
+bounds under the k-th score are ever skipped, so the shard's top k is exact. Lists of very common words
+are kept as rows over all documents; a pack of queries is multiplied with them first, in one product.
 
 Scores use statistics of the whole corpus - number of documents, mean length and document
 frequencies, all of one distributed pass - so the shards' scores can be merged: the top k of all
@@ -40,8 +41,12 @@ from .common import Words, signed, spans, stored, text_slices
 K1, B = 1.2, 0.75
 #: Documents of one block's range.
 RANGE = 16
-#: Lists that hold one document in so many are kept as a row over all documents as well.
-_OFTEN = 8
+#: Lists that hold one document in so many are kept as a row over all documents as well, the longest
+#: first and as many as make up _ROWS numbers.
+_OFTEN, _ROWS = 16, 1 << 22
+#: Scores held at once of queries that are multiplied with those rows together, the fewest such queries, and
+#: of how many rows a query must have one on average.
+_SCORES, _TOGETHER, _USED = 1 << 20, 4, 16
 _BITS = 1 << 23
 #: Words of the queries in one pack; a query is never cut.
 _PACK = 1 << 14
@@ -137,12 +142,14 @@ class Shard:
         self.most = np.maximum.reduceat(self.impact, self.begin) if len(part) else np.zeros(0)
         self.ranges = -(-max(1, self.size) // RANGE)
         #: Long lists as rows over all documents, which add up without looking documents up.
-        self.rows: dict[int, np.ndarray] = {}
-        for k in np.flatnonzero(self.length * _OFTEN >= max(1024, self.size)).tolist():
-            row = np.zeros(self.size)
+        often = np.flatnonzero(self.length * _OFTEN >= max(1024, self.size))
+        often = often[np.argsort(-self.length[often], kind="stable")][: _ROWS // max(1, self.size)]
+        self.row = np.full(len(self.term), -1)
+        self.row[often] = np.arange(len(often))
+        self.rows = np.zeros((len(often), self.size))
+        for row, k in zip(self.rows, often.tolist()):
             at = slice(self.begin[k], self.begin[k] + self.length[k])
             row[self.doc[at]] = self.impact[at]
-            self.rows[k] = row
 
     def _add_lists(self, score: np.ndarray, lists: np.ndarray, idf: np.ndarray) -> None:
         short = self.length[lists] < 256
@@ -151,13 +158,15 @@ class Shard:
         posting = spans(self.begin[some], n)
         if len(posting):
             score += np.bincount(self.doc[posting], weights=self.impact[posting] * np.repeat(weight, n), minlength=self.size)
-        for k, w in zip(lists[~short].tolist(), idf[~short].tolist()):
-            row = self.rows.get(k)
-            if row is not None:
-                score += row * w
-            else:
-                at = slice(self.begin[k], self.begin[k] + self.length[k])
-                score[self.doc[at]] += self.impact[at] * w
+        some, weight = lists[~short], idf[~short]
+        row = self.row[some]
+        for k, w in zip(row[row >= 0].tolist(), weight[row >= 0].tolist()):
+            score += self.rows[k] * w
+        some, weight = some[row < 0], weight[row < 0]
+        if len(some):
+            at = [slice(i, i + n) for i, n in zip(self.begin[some].tolist(), self.length[some].tolist())]
+            impact = np.concatenate([self.impact[i] for i in at]) * np.repeat(weight, self.length[some])
+            score += np.bincount(np.concatenate([self.doc[i] for i in at]), weights=impact, minlength=self.size)
 
     def _add_open_blocks(self, score: np.ndarray, live: np.ndarray, lists: np.ndarray, idf: np.ndarray, least: float) -> np.ndarray:
         """Add the lists' blocks of ranges where a live document can reach `least`; the live ones left."""
@@ -178,19 +187,45 @@ class Shard:
 
     def search(self, terms: np.ndarray, df: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the k best, ties to the smaller id."""
-        nothing = np.zeros(0, dtype=np.int64), np.zeros(0)
+        return next(self.search_all(terms, df, np.array([0, len(terms)]), k))
+
+    def search_all(self, terms: np.ndarray, df: np.ndarray, first: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The same for many queries; first: where each one's terms begin, with the total appended.
+
+        Their lists that are rows are summed in one matrix product for many queries; what is left is walked."""
+        n = len(first) - 1
         if not len(self.term):
-            return nothing
+            yield from [(np.zeros(0, dtype=np.int64), np.zeros(0))] * n
+            return
         at = np.minimum(np.searchsorted(self.term, terms), len(self.term) - 1)
-        here = self.term[at] == terms
-        at, df = at[here], df[here]
+        here = np.flatnonzero(self.term[at] == terms)
+        at, df, first = at[here], df[here], np.searchsorted(here, first)
         idf = np.log1p((self.total - df + 0.5) / (df + 0.5))
+        step = max(1, _SCORES // max(self.size, len(self.rows)))
+        for q in range(0, n, step):
+            most = min(n, q + step)
+            own = slice(first[q], first[most])
+            row = self.row[at[own]]
+            often = row >= 0
+            if most - q >= _TOGETHER and 0 < (most - q) * len(self.rows) <= _USED * often.sum():
+                weight = np.zeros((most - q, len(self.rows)))
+                query = np.repeat(np.arange(most - q), np.diff(first[q : most + 1]))
+                weight[query[often], row[often]] = idf[own][often]
+                scores = weight @ self.rows
+            else:
+                scores, often = np.zeros((most - q, self.size)), np.zeros(len(row), dtype=bool)
+            for i in range(q, most):
+                mine = slice(first[i], first[i + 1])
+                walked = ~often[first[i] - first[q] : first[i + 1] - first[q]]
+                yield self._walk(scores[i - q], at[mine][walked], idf[mine][walked], k)
+
+    def _walk(self, score: np.ndarray, at: np.ndarray, idf: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k best once these lists are added to the scores so far."""
         bound = idf * self.most[at]
         order = np.argsort(-bound, kind="stable")
         at, idf, bound = at[order], idf[order], bound[order]
         left = np.append(np.cumsum(bound[::-1])[::-1], 0.0)  # of the lists from here on
         work = np.cumsum(self.length[at])
-        score = np.zeros(self.size)
         done, step, least = 0, 4096, 0.0
         while done < len(at):
             if left[done] < least:  # the pivot: no new document can enter
@@ -244,8 +279,7 @@ def _search(k: int, total: int, mean: float):
                 asked, sizes, terms, df = (b.column(c)[i].values.to_numpy(zero_copy_only=False) for c in (1, 2, 3, 4))
                 first = np.append(0, np.cumsum(sizes))
                 out: list[list[np.ndarray]] = [[], [], []]
-                for query, at, to in zip(asked, first, first[1:]):
-                    ids, scores = shard.search(terms[at:to], df[at:to], k)
+                for query, (ids, scores) in zip(asked, shard.search_all(terms, df, first, k)):
                     for column, value in zip(out, (np.full(len(ids), query), ids, scores)):
                         column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["query_id", "doc_id", "score"])

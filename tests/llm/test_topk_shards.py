@@ -1,6 +1,11 @@
 """op9 with many shards: what is moved, and queries in packs."""
 
+import numpy as np
+import pyarrow as pa
+import pytest
+
 from rasterloom.llm import topk
+from rasterloom.llm.common import Words
 
 
 def _records_written(spark) -> dict[int, int]:
@@ -23,9 +28,6 @@ def test_queries_are_not_shuffled_to_every_shard(spark):
 
 
 def test_packs_hold_every_query_once(monkeypatch):
-    import numpy as np
-    import pyarrow as pa
-
     monkeypatch.setattr(topk, "_PACK", 7)
     sizes = [3, 4, 1, 20, 2, 5, 7, 1]
     words = [list(range(100 * i, 100 * i + n)) for i, n in enumerate(sizes)]
@@ -35,3 +37,30 @@ def test_packs_hold_every_query_once(monkeypatch):
     for p in packs:
         assert p["sizes"] == [sizes[i] for i in p["ids"]]
         assert p["terms"] == np.concatenate([words[i] for i in p["ids"]]).tolist() and p["df"] == [-w for w in p["terms"]]
+
+
+@pytest.mark.parametrize("limits", [{}, {"_ROWS": 3 * 1500}, {"_SCORES": 6 * 1500}, {"_SCORES": 1}, {"_USED": 1 << 30}, {"_USED": 0}])
+def test_queries_together_find_what_each_finds(monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.3, rng.integers(1, 120)) if x < 5000) for _ in range(1500)]
+    shard = topk.Shard(len(texts), 40.0)
+    shard.add(np.arange(len(texts)), pa.array(texts))
+    shard.finish()
+    raws = [np.frombuffer(t.encode(), dtype=np.uint8) for t in [*texts[::40], "", "unheard of", *texts[7::90]]]
+    terms = [topk._terms(Words(raw, np.array([0, len(raw)]), lower=True))[1] for raw in raws]
+    df = [np.array([max(1, shard.length[shard.term == t].sum()) for t in x.tolist()], dtype=np.int64) for x in terms]
+    first = np.append(0, np.cumsum([len(x) for x in terms]))
+    found = list(shard.search_all(np.concatenate(terms), np.concatenate(df), first, 10))
+    assert len(found) == len(terms)
+    place = {t: k for k, t in enumerate(shard.term.tolist())}
+    for x, n, (ids, scores) in zip(terms, df, found):
+        score = np.zeros(len(texts))
+        for t, d in zip(x.tolist(), n.tolist()):
+            if t in place:
+                at = slice(shard.begin[place[t]], shard.begin[place[t]] + shard.length[place[t]])
+                score[shard.doc[at]] += shard.impact[at] * np.log1p((len(texts) - d + 0.5) / (d + 0.5))
+        value = np.round(score, 9)
+        want = [int(i) for i in np.lexsort((np.arange(len(texts)), -value))[:10] if score[i] > 0]
+        assert ids.tolist() == want and scores.tolist() == pytest.approx(value[want].tolist(), abs=2e-9)
