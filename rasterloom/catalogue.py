@@ -109,11 +109,6 @@ def _flow(spark: SparkSession, d: str) -> DataFrame:
     return s.select("by", "bx", F.round(light, 6).alias("l"), F.round(a, 6).alias("a"), F.round(b, 6).alias("b"))
 
 
-def _fft(spark: SparkSession, d: str) -> DataFrame:
-    one, two = displacement.displaced_pairs(spark, d)
-    return align.fft_shifts(one.join(two.withColumnRenamed("w", "w2"), ["by", "bx", "iy", "ix"]), displacement.BLOCK)
-
-
 def _grid_shifts(spark: SparkSession, d: str) -> DataFrame:
     parts = rasters.table(spark, d, "part")
     known = F.col("p_size") % 7 != 0
@@ -194,7 +189,7 @@ def _raster_queries() -> dict[str, Query]:
         "level_match_nearest": lambda s, d: geometry.match_levels_nearest(s.createDataFrame(PIXELS, "reader string, level int, px double")),
         "channel_naming": lambda s, d: geometry.unique_names(s.createDataFrame([*enumerate(NAMES)], "place int, name string")),
         "block_shift_int": displacement.block_shifts,
-        "block_shift_fft": _fft,
+        "block_shift_fft": displacement.fft_shifts,
         "constrain_shifts": displacement.constrained_shifts,
         "multires_coalesce": _multires,
         "object_priority": _objects,

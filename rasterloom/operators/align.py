@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,34 +23,20 @@ def whole_blocks(blocks: DataFrame, size: int) -> DataFrame:
     return blocks.withColumn("n", F.count(F.lit(1)).over(own)).filter(F.col("n") == size * size).drop("n")
 
 
-def circular_shifts(one: DataFrame, two: DataFrame, size: int, reach: int) -> DataFrame:
-    """(by, bx, dy, dx, score): the circular shift of each block's second image that correlates
-    best with the first, among shifts up to reach. Both have (by, bx, iy, ix, w)."""
-    steps = F.sequence(F.lit(-reach), F.lit(reach))
-    moved = two.select("by", "bx", "iy", "ix", F.col("w").alias("w2"), F.explode(steps).alias("dy"))
-    moved = moved.select("by", "bx", "iy", "ix", "w2", "dy", F.explode(steps).alias("dx"))
-    moved = moved.select("by", "bx", F.pmod(F.col("iy") + F.col("dy"), F.lit(size)).alias("iy"), F.pmod(F.col("ix") + F.col("dx"), F.lit(size)).alias("ix"), "w2", "dy", "dx")
-    score = one.join(moved, ["by", "bx", "iy", "ix"]).groupBy("by", "bx", "dy", "dx").agg(F.sum(F.col("w").cast("long") * F.col("w2")).alias("score"))
-    best = score.groupBy("by", "bx").agg(F.max(F.struct("score", (-F.col("dy")).alias("a"), (-F.col("dx")).alias("b"))).alias("m"))
-    return best.select("by", "bx", (-F.col("m.a")).cast("int").alias("dy"), (-F.col("m.b")).cast("int").alias("dx"), F.col("m.score").alias("score"))
+def circular_scores(one: np.ndarray, two: np.ndarray, reach: int) -> np.ndarray:
+    """(n, shifts): sums of products of n images with others moved circularly by each shift up to reach, in order of dy, dx."""
+    steps = range(-reach, reach + 1)
+    return np.stack([np.einsum("nyx,nyx->n", one, np.roll(two, (dy, dx), (1, 2))) for dy in steps for dx in steps], axis=1)
 
 
-def fft_shifts(pairs: DataFrame, size: int) -> DataFrame:
-    """(by, bx, dy, dx): phase of each block pair by FFT; rows have (by, bx, iy, ix, w, w2).
-
-    A constant block has no estimate and null shifts. A group is one block, size * size rows."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = np.zeros((size, size)), np.zeros((size, size))
-        a[pdf.iy, pdf.ix], b[pdf.iy, pdf.ix] = pdf.w, pdf.w2
-        dy = dx = None
-        if a.min() < a.max() and b.min() < b.max():
-            surface = np.fft.ifft2(np.fft.fft2(a) * np.conj(np.fft.fft2(b))).real
-            at = np.unravel_index(int(np.argmax(np.round(surface, 6))), surface.shape)
-            dy, dx = (int(p) - size * (p > size // 2) for p in at)
-        return pd.DataFrame({"by": [pdf.by.iloc[0]], "bx": [pdf.bx.iloc[0]], "dy": pd.array([dy], "Int32"), "dx": pd.array([dx], "Int32")})
-
-    return pairs.groupBy("by", "bx").applyInPandas(one, "by int, bx int, dy int, dx int")
+def fft_shifts(one: np.ndarray, two: np.ndarray) -> list[tuple[int, int] | None]:
+    """The shift that lays each of n second images on its first, by FFT; none where one is constant."""
+    surface = np.fft.ifft2(np.fft.fft2(one) * np.conj(np.fft.fft2(two))).real
+    shape = one.shape[1:]
+    at = np.stack(np.unravel_index(np.round(surface, 6).reshape(len(one), -1).argmax(axis=1), shape), axis=1)
+    at = np.where(at > np.array(shape) // 2, at - shape, at).tolist()
+    flat = [(x.min(axis=(1, 2)) == x.max(axis=(1, 2))) for x in (one, two)]
+    return [None if c else tuple(p) for c, p in zip(flat[0] | flat[1], at)]
 
 
 def _plane(rows: DataFrame, value: str) -> DataFrame:

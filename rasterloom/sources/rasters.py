@@ -16,6 +16,11 @@ def vector_raster(vectors: DataFrame) -> DataFrame:
     return pixels.select("y", "x", F.floor((F.col("e").cast("double") + 1) * 128).cast("int").alias("v"))
 
 
+def vector_rows(vectors: DataFrame) -> DataFrame:
+    """vector_raster's rows as they come, (y, v array<int>)."""
+    return vectors.select(F.col("vec_id").cast("int").alias("y"), F.transform("embedding", lambda e: F.floor((e.cast("double") + 1) * 128).cast("int")).alias("v"))
+
+
 def density_raster(items: DataFrame, size: int = 64, **sums: str) -> DataFrame:
     """A size x size grid of summed item columns modulo 256, cells without items at 0."""
     sums = sums or {"v": "l_quantity"}
