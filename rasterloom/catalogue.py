@@ -125,7 +125,7 @@ def _matches(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _fitted(spark: SparkSession, d: str) -> DataFrame:
-    fit = matching.robust_affine(_matches(spark, d), reach=5.0)
+    fit = matching.spread_robust_affine(_matches(spark, d), reach=5.0)
     return fit.select("config", *[F.round(c, 6).alias(c) for c in affine.ENTRIES], "inliers", "matches")
 
 
