@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import affine
@@ -50,10 +50,11 @@ def _flow(spark: SparkSession, d: str) -> DataFrame:
 
 def _density(spark: SparkSession, d: str) -> DataFrame:
     """Shifts of a flow counted in 50 x 50 cells between their ends, as shares."""
-    s = displacement.block_shifts(spark, d)
-    ends = s.agg(*[f(c).cast("double").alias(f"{n}_{c}") for c in ("dy", "dx") for n, f in (("lo", F.min), ("hi", F.max))], F.count(F.lit(1)).alias("total"))
+    every = Window.partitionBy()  # a row for each different shift, 25 at most
+    s = displacement.block_shifts(spark, d).groupBy("dy", "dx").agg(F.count(F.lit(1)).alias("n"))
+    s = s.select("*", *[f(c).over(every).cast("double").alias(f"{n}_{c}") for c in ("dy", "dx") for n, f in (("lo", F.min), ("hi", F.max))], F.sum("n").over(every).alias("total"))
     cell = lambda c: F.when(F.col(f"hi_{c}") > F.col(f"lo_{c}"), F.least(F.floor((F.col(c) - F.col(f"lo_{c}")) / ((F.col(f"hi_{c}") - F.col(f"lo_{c}")) / 50)), F.lit(49))).otherwise(0).cast("int")
-    counted = s.crossJoin(F.broadcast(ends)).groupBy(cell("dy").alias("row"), cell("dx").alias("column")).agg(F.count(F.lit(1)).alias("n"), F.first("total").alias("total"))
+    counted = s.groupBy(cell("dy").alias("row"), cell("dx").alias("column")).agg(F.sum("n").alias("n"), F.first("total").alias("total"))
     return counted.select("row", "column", "n", F.round(F.col("n") / F.col("total"), 6).alias("share"))
 
 
